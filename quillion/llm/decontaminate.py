@@ -23,18 +23,16 @@ returned; matching reads id and text only.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import sequence_hashes
+from .hashing import char_words, sequence_hashes
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,26 +41,6 @@ BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 #: Items are taken in blocks of about this many, which bounds what is broadcast.
 ITEMS_PER_BLOCK = 20_000
 GATE_BITS = 1 << 22
-WORD = re.compile(r"\w+")
-
-
-class TextHashes(dict):
-    """64-bit hashes of words, as they are asked for; bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-HASHES = TextHashes()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = WORD.findall((text or "").lower())
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-
 
 def signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each bit of each shingle."""
@@ -120,8 +98,8 @@ class Benchmark:
         self.percent = percent
         by: dict[tuple[int, int], list] = defaultdict(list)
         members = defaultdict(list)
-        for number, text in items:
-            words = word_hashes(text)
+        hashes = [w for _, each in char_words([t for _, t in items]) for w in each]
+        for (number, _), words in zip(items, hashes):
             if len(words):
                 k = min(SHINGLE, len(words))
                 shingles = sequence_hashes(words, k)
@@ -144,18 +122,25 @@ class Benchmark:
             gate[(known & np.uint64(GATE_BITS - 1)).astype(np.int64)] = True
             self.gates[k] = np.packbits(gate, bitorder="little")
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, float]]:
-        """(item, first word, words, similarity) of each item found in a text."""
-        words = word_hashes(text)
+    def matches(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, int, float]]]:
+        """(item, first word, words, similarity) of each item found in each text."""
+        for joined, each in char_words(texts):
+            maybe = {k: self._maybe(k, sequence_hashes(joined, k)) for k in self.members}
+            at = 0
+            for words in each:
+                near = {k: m[slice(*np.searchsorted(m, [at, at + len(words) - k + 1]))] - at for k, m in maybe.items() if len(words) >= k}
+                yield self._in_text(words, {k: m for k, m in near.items() if len(m)})
+                at += len(words)
+
+    def _maybe(self, k: int, shingles: np.ndarray) -> np.ndarray:
+        """Places whose shingle passes the gate."""
+        cell = (shingles & np.uint64(GATE_BITS - 1)).astype(np.int64)
+        return np.flatnonzero(self.gates[k][cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+
+    def _in_text(self, words: np.ndarray, near: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
-        for k, known in self.members.items():
-            if len(words) < k:
-                continue
-            shingles = sequence_hashes(words, k)
-            cell = (shingles & np.uint64(GATE_BITS - 1)).astype(np.int64)
-            maybe = np.flatnonzero(self.gates[k][cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
-            if not len(maybe):
-                continue
+        for k, maybe in near.items():
+            known, shingles = self.members[k], sequence_hashes(words, k)
             place = np.minimum(np.searchsorted(known, shingles[maybe]), len(known) - 1)
             sure = known[place] == shingles[maybe]
             found = maybe[sure]
@@ -199,7 +184,7 @@ def _match(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     names = ["id", "item_id", "start_word", "n_words", "similarity"]
     for batch in batches:
-        rows = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in index.matches(t)]
+        rows = [(i, *m) for i, found in zip(batch.column(0).to_pylist(), index.matches(batch.column(1).to_pylist())) for m in found]
         columns = list(zip(*rows)) or [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -223,7 +208,7 @@ def _clean(batches: Iterator[pa.RecordBatch], shared, text_col: str) -> Iterator
     index = shared.value
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        yield batch.filter(pa.array([not index.matches(t) for t in texts], pa.bool_()))
+        yield batch.filter(pa.array([not found for found in index.matches(texts)], pa.bool_()))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

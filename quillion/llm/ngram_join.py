@@ -35,56 +35,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .hashing import byte_words, mixed, sequence_hashes
 
 #: Cells of the frequency count that orders the hashes.
 CELLS = 1 << 14
 #: Bits of the filter that says which nodes' sets are wanted.
 WANTED_BITS = 1 << 20
-#: Distinct words that a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
-HASHES = WordHashes()
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def sequence_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words."""
-    out = words[: len(words) - n + 1].copy()
-    for k in range(1, n):
-        out = _mixed(out) * _ODD + words[k : len(words) - n + 1 + k]
-    return _mixed(out)
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> Iterator[np.ndarray]:
     """The sorted set of each text: A-Z lower-cased, words between ASCII white space."""
-    for text in texts:
-        words = (text or b"").lower().split()
-        hashes = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-        if 0 < len(words) < n:
-            yield _mixed(sequence_hashes(hashes, len(words)) + np.uint64(len(words)))
-        elif len(words):
-            found = sequence_hashes(hashes, n)
-            found.sort()
-            yield found[np.append(True, found[1:] != found[:-1])]
-        else:
-            yield hashes
+    for joined, each in byte_words(texts):
+        runs, at = sequence_hashes(joined, n), 0
+        for words in each:
+            if len(words) >= n:
+                found = np.sort(runs[at : at + len(words) - n + 1])
+                yield found[np.append(True, found[1:] != found[:-1])]
+            elif len(words):
+                yield mixed(sequence_hashes(words, len(words)) + np.uint64(len(words)))
+            else:
+                yield words
+            at += len(words)
 
 
 def node_of(members: np.ndarray) -> bytes:

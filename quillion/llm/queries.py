@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, token_output, url_filter, warc
+from . import byte_bpe, decontaminate, html_extract, lang_id, ngram_join, pii, quality_rules, token_output, url_filter, warc
 from .common import table
 
 
@@ -37,8 +37,36 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item found in it."""
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.pseudonymise_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), F.array_sort(F.array_distinct("pii.kind")).alias("kinds"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_extract.extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op10_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = lang_id.identify(docs, lang_id.train(docs))
+    return rows.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    here = [op1_url_filter, op2_token_output, op3_quality_rules, op4_byte_bpe, op5_warc]
+    here = [
+        op1_url_filter, op2_token_output, op3_quality_rules, op4_byte_bpe, op5_warc,
+        op6_ngram_join, op7_decontaminate, op8_pii, op9_html_extract, op10_lang_id,
+    ]
     return {f.__name__: f for f in here}
 
 
