@@ -12,8 +12,8 @@ member of their prefixes under one global order, so:
    the lowest and highest group of a hash, and members with their group's first; this
    is linear in the index.  Pairs of groups that then already lie in one component need
    no link of their own to be found; every other pair is generated in a second pass.
-4. Expand and verify: pairs of groups become pairs of members, whose whole sets are
-   intersected.
+4. Expand and verify: pairs of groups become pairs of members; parity sketches rule out
+   most that are too far apart, without error; the whole sets of the rest are intersected.
 
 So a large cluster of near copies costs a star and not a square, and no link between
 components is lost.  The result is the component of each document.
@@ -39,6 +39,8 @@ from .hashing import byte_words, mixed, sequence_hashes
 
 #: Cells of the frequency count that orders the hashes.
 CELLS = 1 << 14
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 2048
 #: Bits of the filter that says which nodes' sets are wanted.
 WANTED_BITS = 1 << 20
 
@@ -62,6 +64,13 @@ def node_of(members: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(members.tobytes())
 
 
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """Parity of the members that fall on each bit: two sketches differ in no more bits than
+    the sets have members that are not common."""
+    odd = np.bincount((members >> np.uint64(40) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _count_cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
@@ -72,7 +81,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
 
 def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, nodes, groups, prefixes = [], [], [], []
+        sizes, nodes, groups, prefixes, sketches = [], [], [], [], []
         for members in shingle_sets(batch.column(1).to_pylist(), n):
             size = len(members)
             length = size - -(-percent * size // 100) + 1 if size else 0
@@ -82,11 +91,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: np
             nodes.append(node_of(members))
             groups.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=size) - (1 << 63))
             prefixes.append(first.view(np.int64))
+            sketches.append(parity_sketch(members))
         arrays = [
             batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-            pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+            pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "node", "grp", "prefix"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "node", "grp", "prefix", "sketch"])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -125,8 +135,21 @@ def _wanted_bits(pairs: DataFrame) -> np.ndarray:
     return wanted
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not rule the similarity out.
+
+    At the threshold, the members not common to both sets are (100 - percent) of each
+    (100 + percent) members of the two; sketches that differ in more bits exclude it.
+    """
+    pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("x")), "a")
+    pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
+    return pairs.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the similarity."""
+    pairs = materialize(plausible(pairs, nodes, percent), "plausible")
     wanted = _wanted_bits(pairs)
     sets = texts.mapInArrow(lambda b: _wanted_sets(b, n, wanted), "node binary, members array<bigint>")
     sets = materialize(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
@@ -162,10 +185,10 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     data = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
     texts = data.select("text")
     order = cell_order(texts, n)
-    schema = "id bigint, size bigint, node binary, grp bigint, prefix array<bigint>"
+    schema = "id bigint, size bigint, node binary, grp bigint, prefix array<bigint>, sketch array<bigint>"
     rows = materialize(data.mapInArrow(lambda b: _prefixes(b, n, percent, order), schema), "prefixes")
 
-    nodes = rows.where("size > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("size").alias("size"))
+    nodes = rows.where("size > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")
     groups = nodes.groupBy("grp", "size").agg(F.min("node").alias("head"), F.count("*").alias("n"))
     groups = materialize(groups, "groups")
@@ -183,7 +206,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     stars = hubs.join(one, "g").join(two, "h").where(_sizes_fit(percent)).select("a", "b")
     inner = nodes.join(groups.where("n > 1").select("grp", "size", "head"), ["grp", "size"]).where("node != head")
     pairs = materialize(stars.union(inner.select(F.col("head").alias("a"), F.col("node").alias("b"))), "pairs")
-    links = materialize(verified(pairs, texts, n, percent), "links")
+    links = materialize(verified(pairs, nodes, texts, n, percent), "links")
     found = components(links)
 
     # Second pass: every remaining pair of groups that is not within one component.
@@ -208,7 +231,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     more = met.union(own).join(x, "g").join(y, "h").where((F.col("ca") != F.col("cb")) & _sizes_fit(percent))
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    late = materialize(verified(more, texts, n, percent), "links")
+    late = materialize(verified(more, nodes, texts, n, percent), "links")
     if not late.isEmpty():
         found = components(links.union(late))
 
