@@ -9,9 +9,10 @@ member of their prefixes under one global order, so:
    prefixes.
 2. Group: nodes with the same prefix and size form one group; only groups are indexed.
 3. Filter: groups that share a prefix hash are paired.  First, each is paired only with
-   the lowest and highest group of a hash, and members with their group's first; this
-   is linear in the index.  Pairs of groups that then already lie in one component need
-   no link of their own to be found; every other pair is generated in a second pass.
+   one hub of a hash, and members with their group's first; this is linear in the index.
+   Pairs of groups that then already lie in one component need no link of their own to
+   be found; every other pair is generated in a second pass, on such hashes as can be the
+   first common one of two linked sets (enough of both sets must follow).
 4. Expand and verify: pairs of groups become pairs of members; parity sketches rule out
    most that are too far apart, without error; the whole sets of the rest are intersected.
 
@@ -39,8 +40,8 @@ from .hashing import byte_words, mixed, sequence_hashes
 
 #: Cells of the frequency count that orders the hashes.
 CELLS = 1 << 14
-#: Bits of a set's parity sketch.
-SKETCH_BITS = 2048
+#: Least bits of a set's parity sketch; a sketch has from two to four bits a member.
+SKETCH_BITS = 512
 #: Bits of the filter that says which nodes' sets are wanted.
 WANTED_BITS = 1 << 20
 
@@ -66,8 +67,10 @@ def node_of(members: np.ndarray) -> bytes:
 
 def parity_sketch(members: np.ndarray) -> np.ndarray:
     """Parity of the members that fall on each bit: two sketches differ in no more bits than
-    the sets have members that are not common."""
-    odd = np.bincount((members >> np.uint64(40) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    the sets have members that are not common.  The halves of a sketch, joined by exclusive
+    or, are the sketch of half as many bits."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(members)).bit_length())
+    odd = np.bincount((members >> np.uint64(16) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -86,7 +89,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: np
             size = len(members)
             length = size - -(-percent * size // 100) + 1 if size else 0
             rank = order[(members & np.uint64(CELLS - 1)).astype(np.int64)]
-            first = np.sort(members[np.argsort(rank, kind="stable")[:length]])
+            first = members[np.argsort(rank, kind="stable")[:length]]
             sizes.append(size)
             nodes.append(node_of(members))
             groups.append(xxhash.xxh3_64_intdigest(first.tobytes(), seed=size) - (1 << 63))
@@ -143,6 +146,10 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("x")), "a")
     pairs = pairs.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("y")), "b")
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), F.expr(f'size({v}) div 2')), F.slice(v, F.expr(f'size({v}) div 2 + 1'), F.expr(f'size({v}) div 2')), lambda a, b: a.bitwiseXOR(b))
+    x = F.when(F.size("x") > F.size("y"), half("x")).otherwise(F.col("x"))  # sizes that fit are one doubling apart at most
+    y = F.when(F.size("y") > F.size("x"), half("y")).otherwise(F.col("y"))
+    pairs = pairs.select("a", "b", "na", "nb", x.alias("x"), y.alias("y"))
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, d: a + d)
     return pairs.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
@@ -195,13 +202,13 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     # Index of groups by prefix hash, hashes of one group left out.
     shown = rows.where("size > 0").groupBy("grp", "size").agg(F.first("prefix").alias("prefix"))
-    index = shown.select("grp", "size", F.explode("prefix").alias("hash"))
-    ends = index.groupBy("hash").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high")
+    index = shown.select("grp", "size", F.posexplode("prefix").alias("pos", "hash"))
+    ends = index.groupBy("hash").agg(F.min_by("grp", "pos").alias("hub"), F.count("*").alias("n")).where("n > 1").select("hash", "hub")
     index = materialize(index.join(ends, "hash"), "index")
 
-    # First pass: a star in each group and around the lowest and highest group of each hash.
-    hubs = index.select("grp", F.explode(F.array("low", "high")).alias("other")).where("grp != other")
-    hubs = hubs.select(F.least("grp", "other").alias("g"), F.greatest("grp", "other").alias("h")).distinct()
+    # First pass: a star in each group, and for each hash around the group in which it comes
+    # earliest, which has the fewest rarer members of its own.
+    hubs = index.where("grp != hub").select(F.least("grp", "hub").alias("g"), F.greatest("grp", "hub").alias("h")).distinct()
     one, two = _side(groups, "g", "a"), _side(groups, "h", "b")
     stars = hubs.join(one, "g").join(two, "h").where(_sizes_fit(percent)).select("a", "b")
     inner = nodes.join(groups.where("n > 1").select("grp", "size", "head"), ["grp", "size"]).where("node != head")
@@ -213,17 +220,20 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     placed = nodes.join(found, "node", "left").select("node", "grp", "size", F.coalesce("comp", "node").alias("comp"))
     placed = materialize(placed, "placed")
     state = placed.groupBy("grp", "size").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    known = index.select("hash", "grp", "size").join(state, ["grp", "size"])
+    known = index.select("hash", "grp", "size", "pos").join(state, ["grp", "size"])
     open_ = known.groupBy("hash").agg(F.min("c0").alias("m0"), F.max("c1").alias("m1")).where("m0 != m1").select("hash")
     known = materialize(known.join(open_, "hash"), "open")
     pure = F.col("c0") == F.col("c1")
     major = known.where(pure).groupBy("hash", "c0").count().groupBy("hash").agg(F.max_by("c0", "count").alias("major"))
     left = known.join(major, "hash", "left").where(~(pure & F.col("c0").eqNullSafe(F.col("major"))))
-    left = left.select("hash", *[F.col(c).alias(f"l_{c}") for c in ("grp", "size", "c0", "c1")])
-    right = known.select("hash", *[F.col(c).alias(f"r_{c}") for c in ("grp", "size", "c0", "c1")])
+    left = left.select("hash", *[F.col(c).alias(f"l_{c}") for c in ("grp", "size", "pos", "c0", "c1")])
+    right = known.select("hash", *[F.col(c).alias(f"r_{c}") for c in ("grp", "size", "pos", "c0", "c1")])
     same = (F.col("l_c0") == F.col("l_c1")) & (F.col("r_c0") == F.col("r_c1")) & (F.col("l_c0") == F.col("r_c0"))
     near = F.least("l_size", "r_size") * 100 >= F.greatest("l_size", "r_size") * percent
-    met = left.join(right, "hash").where((F.col("l_grp") != F.col("r_grp")) & near & ~same)
+    # At the first common hash of two linked sets, enough of both is left.
+    rest = F.least(F.col("l_size") - F.col("l_pos"), F.col("r_size") - F.col("r_pos"))
+    enough = rest * (100 + percent) >= (F.col("l_size") + F.col("r_size")) * percent
+    met = left.join(right, "hash").where((F.col("l_grp") != F.col("r_grp")) & near & enough & ~same)
     met = met.select(F.least("l_grp", "r_grp").alias("g"), F.greatest("l_grp", "r_grp").alias("h")).distinct()
     own = state.where("c0 != c1").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     x = placed.select(F.col("grp").alias("g"), F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"))
