@@ -29,9 +29,9 @@ LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_BEFORE, BREAK_BEFORE, GAP, RESET =
 # States: what the current token is so far.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_GAP, JOINED, ONE_LEFT, TWO_LEFT = range(8)
 #: Characters that one pass of the scan takes; bounds the working arrays.
-PASS_CHARS = 1 << 21
+PASS_CHARS = 1 << 20
 #: Distinct slices that a worker remembers before it starts anew.
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 #: Longer slices are merged one by one with a heap.
 LONG_SLICE = 128
 NO_PAIR = np.iinfo(np.int64).max
@@ -121,6 +121,11 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(x) for x in self.tokens], np.int64)
+        self.pairs = None  # made when first encoding
+        self.forget()
+
+    def prepare(self) -> None:
+        """What only encoding needs: ids of bytes, ranks of id pairs, character classes."""
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs, made = [], []
         get = self.ranks.get
@@ -133,7 +138,6 @@ class ByteBpe:
         order = np.argsort(np.array(pairs, np.int64))
         self.pairs, self.made = np.array(pairs, np.int64)[order], np.array(made, np.int64)[order]
         self.classes = code_point_classes()
-        self.forget()
 
     # -- slices ---------------------------------------------------------------
     def starts(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -270,6 +274,8 @@ class ByteBpe:
     # -- texts ----------------------------------------------------------------
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of each text, and the byte offset at which each id's token ends."""
+        if self.pairs is None:
+            self.prepare()
         out_ids, out_ends, low = [], [], 0
         while low < len(texts):
             high, chars = low, 0
@@ -352,12 +358,12 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ranks: str
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     bpe = codec(ranks)
-    for batch in batches:
-        at = batch.schema.get_field_index("ids")
-        texts = [bpe.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(at).to_pylist()]
-        keep = [c for c in batch.schema.names if c not in ("ends", "decoded")]
-        arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.binary())], names=[*keep, "decoded"])
+    for whole in batches:
+        for low in range(0, whole.num_rows, 512):
+            batch = whole.slice(low, 512)
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            texts = [bpe.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else b"" for x in ids]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
 
 def encode_texts(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text_col: str = "text") -> DataFrame:
@@ -374,6 +380,6 @@ def encode_texts(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text_col
 
 def decode_ids(rows: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Add ``decoded`` (the bytes of ``ids``) and drop ``ends``."""
-    keep = [f for f in rows.schema.fields if f.name not in ("ends", "decoded")]
-    schema = T.StructType([*keep, T.StructField("decoded", T.BinaryType())])
+    rows = rows.drop("ends", "decoded")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
     return rows.mapInArrow(lambda batches: _decode_batches(batches, ranks), schema)
