@@ -31,7 +31,7 @@ FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_GAP, JOINED, ONE_LEFT, TWO_LEFT = r
 #: Characters that one pass of the scan takes; bounds the working arrays.
 PASS_CHARS = 1 << 20
 #: Distinct slices that a worker remembers before it starts anew.
-CACHE_SLICES = 200_000
+CACHE_SLICES = 300_000
 #: Longer slices are merged one by one with a heap.
 LONG_SLICE = 128
 NO_PAIR = np.iinfo(np.int64).max
