@@ -68,12 +68,11 @@ def line_fails(line: Column) -> Column:
     return navigation | punctuation | line.rlike(BOILERPLATE)
 
 
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the counts, ``clean_text``, ``removed_chars``, ``base_failed`` and ``kept``.
+def _judged(docs: DataFrame, text_col: str) -> DataFrame:
+    """The counts and verdicts, and ``_row``.
 
-    Every step is a row-wise projection: no shuffle, nothing in Python.  Repeated
-    word windows are found by hashing each window and, only where a document has
-    equal hashes, by sorting (hash, position) pairs inside the row.
+    The row number stands beside the counts so that a filter on a verdict stays above
+    them; moved below, it would build words and windows anew for every element.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "removed_chars"]
     passed = [c for c in docs.columns if c not in own]
@@ -118,14 +117,25 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.array_join("_keep", "\n").alias("clean_text"),
         (total - F.length(F.array_join("_keep", ""))).cast("bigint").alias("removed_chars"),
         total.cast("bigint").alias("_total"),
+        F.monotonically_increasing_id().alias("_row"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     lost = F.col("removed_chars") * 100 > F.col("_total") * MAX_REMOVED_PERCENT
     return rows.select("*", failed.alias("base_failed"), (~failed & ~lost).alias("kept")).drop("_total")
 
 
+def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add the counts, ``clean_text``, ``removed_chars``, ``base_failed`` and ``kept``.
+
+    Every step is a row-wise projection: no shuffle, nothing in Python.  Repeated
+    word windows are found by hashing each window and, only where a document has
+    equal hashes, by sorting (hash, position) pairs inside the row.
+    """
+    return _judged(docs, text_col).drop("_row")
+
+
 def keep_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, their failing lines removed; ``n_chars`` follows the text."""
-    judged = judge(docs, text_col).where("kept")
+    judged = _judged(docs, text_col).where("kept AND _row >= 0")
     out = {text_col: F.col("clean_text"), "n_chars": F.length("clean_text").cast("bigint")}
     return judged.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
