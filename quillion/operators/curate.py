@@ -59,7 +59,9 @@ def near_leaks(pool: DataFrame, held: DataFrame, percent: int = 85, id_col: str
         rows = df.select(F.col(id_col).alias(f"{tag}_id"), words.alias("w"))
         pairs = F.transform("w", lambda w, i: F.when(i > 0, F.xxhash64(F.get("w", i - 1), w)))
         both = F.concat(F.transform("w", lambda w: F.xxhash64(w)), F.filter(pairs, lambda x: x.isNotNull()))
-        return rows.select(f"{tag}_id", F.sort_array(F.array_distinct(both)).alias(f"{tag}_g")).where(F.size(f"{tag}_g") > 0)
+        # The row number keeps later filters from being moved below, where they would build the sets anew.
+        sets = rows.select(f"{tag}_id", F.sort_array(F.array_distinct(both)).alias(f"{tag}_g"), F.monotonically_increasing_id().alias("r"))
+        return sets.where("r >= 0").drop("r")
 
     def prefixes(df: DataFrame, tag: str) -> DataFrame:
         n = F.size(f"{tag}_g")
