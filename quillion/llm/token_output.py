@@ -129,7 +129,7 @@ class WaveletMatrix:
     def count(self, token: int, low: int = 0, high: int | None = None) -> int:
         """Occurrences of a token in [low, high)."""
         low, high = self.interval(token, low, self.n if high is None else high)
-        return high - low
+        return max(0, high - low)
 
     def locate(self, token: int) -> np.ndarray:
         """All places of a token, ascending."""
