@@ -63,7 +63,7 @@ def test_rounds_half_to_even(spark):
 
 
 def test_education(spark):
-    entries = F.array(F.struct(F.lit("BSc").alias("degree"), F.lit(9.0).alias("gpa")), F.struct(F.lit("HSC"), F.lit(None).cast("double")))
+    entries = F.array(F.struct(F.lit("BSc").alias("degree"), F.lit(9.0).alias("gpa")), F.struct(F.lit("HSC").alias("degree"), F.lit(None).cast("double").alias("gpa")))
     assert one(spark, scoring.education(entries)) == 12
 
 
