@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 # Symbols: what a character is to the automaton.
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_BEFORE, BREAK_BEFORE, GAP, RESET = range(9)
 # States: what the current token is so far.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_GAP, JOINED, ONE_LEFT, TWO_LEFT = range(8)
 #: Characters that one pass of the scan takes; bounds the working arrays.
-PASS_CHARS = 1 << 20
+PASS_CHARS = 1 << 18
 #: Distinct slices that a worker remembers before it starts anew.
 CACHE_SLICES = 300_000
 #: Longer slices are merged one by one with a heap.
@@ -342,6 +344,7 @@ def codec(name: str, data: bytes | None = None) -> ByteBpe:
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ranks: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     bpe = codec(ranks)
+    bpe.forget()
     for whole in batches:
         for low in range(0, whole.num_rows, 512):  # bounds the ids held at once
             batch = whole.slice(low, 512)
@@ -354,11 +357,14 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ranks: str
                 pa.array([x.astype("<u4").tobytes() for x in ends], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids", "ends"])
+    bpe.forget()  # the worker may go on to other work
 
 
 def _decode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
     bpe = codec(ranks)
     for whole in batches:
+        if "ends" in whole.schema.names:
+            whole = whole.drop_columns("ends")
         for low in range(0, whole.num_rows, 512):
             batch = whole.slice(low, 512)
             ids = batch.column(batch.schema.get_field_index("ids"))
@@ -375,11 +381,21 @@ def encode_texts(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text_col
     keep = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "ids", "ends")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ends", T.BinaryType())])
-    return docs.mapInArrow(lambda batches: _encode_batches(batches, text_col, ranks, names), schema)
+    return docs.mapInArrow(lambda batches: tidy(_encode_batches(batches, text_col, ranks, names)), schema)
 
 
 def decode_ids(rows: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """Add ``decoded`` (the bytes of ``ids``) and drop ``ends``."""
     rows = rows.drop("ends", "decoded")
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return rows.mapInArrow(lambda batches: _decode_batches(batches, ranks), schema)
+    return rows.mapInArrow(lambda batches: tidy(_decode_batches(batches, ranks)), schema)
+
+
+def round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text_col: str = "text") -> DataFrame:
+    """As :func:`decode_ids` of :func:`encode_texts`, in one pass of one worker per task."""
+    coded = encode_texts(docs.drop("decoded"), ranks, text_col).drop("ends")
+    keep = [c for c in coded.columns if c not in ("n_tokens", "ids")]
+    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())])
+    return docs.select(*keep, text_col).mapInArrow(
+        lambda batches: tidy(_decode_batches(_encode_batches(batches, text_col, ranks, keep), ranks)), schema
+    )

@@ -8,9 +8,12 @@ names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,19 @@ def ascii_lower(text: Column) -> Column:
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has no more than ``bound`` rows (reads ``bound + 1`` at most)."""
     return df.limit(bound + 1).count() <= bound
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pass the batches on; at the end, give freed memory back to the system.
+
+    Spark keeps Python workers for later tasks and stages; what they hold on to would
+    count against executors that no longer need it.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .hashing import char_words, sequence_hashes
 
 SHINGLE = 5
@@ -199,7 +200,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     out = None
     for items in item_blocks(benchmark, item_col, item_text):
         shared = sc.broadcast(Benchmark(items, percent))
-        found = rows.mapInArrow(lambda b, s=shared: _match(b, s), "id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double")
+        found = rows.mapInArrow(lambda b, s=shared: tidy(_match(b, s)), "id bigint, item_id bigint, start_word bigint, n_words bigint, similarity double")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
@@ -216,5 +217,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
     sc = docs.sparkSession.sparkContext
     for items in item_blocks(benchmark, item_col, item_text):
         shared = sc.broadcast(Benchmark(items, percent))
-        docs = docs.mapInArrow(lambda b, s=shared: _clean(b, s, text_col), docs.schema)
+        docs = docs.mapInArrow(lambda b, s=shared: tidy(_clean(b, s, text_col)), docs.schema)
     return docs

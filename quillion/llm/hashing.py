@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters hashed in one pass; a longer text makes a pass of its own.
-PASS_CHARS = 1 << 20
+PASS_CHARS = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 _ODD = np.uint64(BASE)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

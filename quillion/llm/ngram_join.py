@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .hashing import byte_words, mixed, sequence_hashes
 
 #: Cells of the frequency count that orders the hashes.
@@ -116,7 +116,7 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray)
 
 def cell_order(texts: DataFrame, n: int) -> np.ndarray:
     """The rank of each cell by how many set members fall into it (a fixed-size array)."""
-    counts = texts.mapInArrow(lambda b: _count_cells(b, n), "counts array<bigint>")
+    counts = texts.mapInArrow(lambda b: tidy(_count_cells(b, n)), "counts array<bigint>")
     rows = counts.select(F.posexplode("counts").alias("cell", "n")).groupBy("cell").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(CELLS, np.int64)
     for cell, count in rows:
@@ -158,7 +158,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perce
     """The pairs (a, b) of nodes whose sets reach the similarity."""
     pairs = materialize(plausible(pairs, nodes, percent), "plausible")
     wanted = _wanted_bits(pairs)
-    sets = texts.mapInArrow(lambda b: _wanted_sets(b, n, wanted), "node binary, members array<bigint>")
+    sets = texts.mapInArrow(lambda b: tidy(_wanted_sets(b, n, wanted)), "node binary, members array<bigint>")
     sets = materialize(sets.groupBy("node").agg(F.first("members").alias("members")), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
@@ -193,7 +193,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     texts = data.select("text")
     order = cell_order(texts, n)
     schema = "id bigint, size bigint, node binary, grp bigint, prefix array<bigint>, sketch array<bigint>"
-    rows = materialize(data.mapInArrow(lambda b: _prefixes(b, n, percent, order), schema), "prefixes")
+    rows = materialize(data.mapInArrow(lambda b: tidy(_prefixes(b, n, percent, order)), schema), "prefixes")
 
     nodes = rows.where("size > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("size").alias("size"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes, "nodes")

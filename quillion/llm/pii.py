@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 ROUNDS = 8
 #: Only for tests and examples: give your own key.
 DEFAULT_KEY = b"quillion example key"
@@ -243,4 +245,4 @@ def pseudonymise_texts(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str
     keep = [f for f in docs.schema.fields if not (spans and f.name == "pii")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, *([T.StructField("pii", SPANS)] if spans else [])])
-    return docs.select(*names).mapInArrow(lambda b: _replace(b, key, text_col, names, spans), schema)
+    return docs.select(*names).mapInArrow(lambda b: tidy(_replace(b, key, text_col, names, spans)), schema)

@@ -26,7 +26,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = byte_bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
