@@ -48,7 +48,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (32-bit little-endian), their count, and digests of ids and decoded bytes."""
-    rows = byte_bpe.decode_ids(byte_bpe.encode_texts(docs.select("doc_id", "text")))
+    rows = byte_bpe.round_trip(docs.select("doc_id", "text"))
     return rows.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
