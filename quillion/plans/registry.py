@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import curate, evaluate, ranking, sections
+from . import more
 
 #: The queries ask for benchmark item 0.
 QUERY_ITEM = 0
@@ -199,7 +200,7 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in _QUERIES}
+    return {**{f.__name__: f for f in _QUERIES}, **more.queries()}
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -230,11 +231,13 @@ def _sql_replace(column: str) -> str:
 
 
 _MARKUP = "trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g'))"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ANY = "list_sort(list_filter(['ering', 'thing', 'tion'], lambda x: list_contains(w, x)))"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **more.oracle_sql(),
         "bm25_corpus_topk": f"""WITH {_PAIR},
 len AS (SELECT doc_id, len({_TOK}) AS dl FROM documents),
 st AS (SELECT count(*) AS docs, greatest(avg(dl), 1.0) AS avgdl FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
@@ -260,6 +263,9 @@ SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, sco
         "confusion_metrics": f"WITH {_JUDGED}, x AS (SELECT quality AS t, (n_chars >= 1000)::INT AS g FROM j), k AS (SELECT DISTINCT t AS class FROM x UNION SELECT DISTINCT g FROM x) SELECT class, round(coalesce(sum((t = class AND g = class)::INT) / nullif(sum((g = class)::INT), 0), 0.0), 6) AS precision, round(coalesce(sum((t = class AND g = class)::INT) / nullif(sum((t = class)::INT), 0), 0.0), 6) AS recall, round(2 * sum((t = class AND g = class)::INT) / (sum((t = class)::INT) + sum((g = class)::INT)), 6) AS f1, sum((t = class)::INT)::BIGINT AS support FROM k, x GROUP BY class",
         "spearman_ties": f"WITH {_JUDGED}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS a, rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0 AS b FROM j) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r",
         "ndcg_at_10": f"WITH {_JUDGED}, r AS (SELECT source, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, row_number() OVER (PARTITION BY source ORDER BY quality DESC, doc_id) AS i FROM j), s AS (SELECT source, sum(CASE WHEN r <= 10 THEN quality / log2(r + 1) END) AS dcg, sum(CASE WHEN i <= 10 THEN quality / log2(i + 1) END) AS idcg FROM r GROUP BY 1) SELECT source, round(dcg / idcg, 6) AS ndcg FROM s WHERE idcg > 0",
+        "blend_grid_search": f"WITH {_JUDGED}, x AS (SELECT n_chars / 1000.0::DOUBLE AS a, length(regexp_replace(text, '[^.]', '', 'g'))::DOUBLE AS b, quality::DOUBLE AS y FROM j), g AS (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS weight) SELECT weight, round(corr(a * weight + b * (1 - weight), y), 6) AS rho FROM x, g GROUP BY weight",
+        "near_leaks": "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x != '') AS w FROM documents), s AS (SELECT id, list_distinct(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w), p AS (SELECT a.id AS a_id, b.id AS b_id, a.g AS x, b.g AS y FROM s a JOIN s b ON b.id % 50 = 0 AND a.id != b.id AND len(a.g) > 0 AND len(b.g) > 0 AND least(len(a.g), len(b.g)) * 100 >= greatest(len(a.g), len(b.g)) * 85), c AS (SELECT a_id, b_id, len(list_intersect(x, y)) AS c, len(x) + len(y) AS n FROM p) SELECT a_id, b_id FROM c WHERE c * 100 >= (n - c) * 85",
+        "text_macro_features": f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t, trim(coalesce(text, ''), {_BLANKS}) AS b FROM documents), c AS (SELECT doc_id, regexp_extract_all(t, '[a-zA-Z'']+') AS w, len(list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS}) != '')) AS line_count, greatest(1, len(list_filter(regexp_split_to_array(b, '[.!?]\\s+|[.!?]$'), lambda x: length(trim(x, {_BLANKS})) > 2))) AS sentence_count, len(regexp_extract_all(t, '(?i)\\d{{4}}\\s*[-–to]+\\s*(?:\\d{{4}}|Present|Current|Till Date)')) AS year_range_count, regexp_matches(t, '@|\\+?\\d[\\d\\s.-]{{6,}}')::INT AS has_contact FROM t) SELECT doc_id, len(w) AS word_count, line_count, sentence_count::BIGINT AS sentence_count, round_even(len(w) / sentence_count, 2) AS mean_sentence_len, year_range_count, round_even(CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0.0::DOUBLE END, 3) AS avg_word_len, has_contact FROM c",
         "population_stats": "WITH u AS (SELECT source, 'text' AS field, trim(text) AS v FROM documents UNION ALL SELECT source, 'lang', trim(lang) FROM documents) SELECT source, field, sum(coalesce(v != '', false)::INT)::BIGINT AS filled, round(avg(coalesce(v != '', false)::INT) * 100, 4) AS percent, round(avg(CASE WHEN v != '' THEN length(v) END), 4) AS mean_length FROM u GROUP BY 1, 2",
         "pivot_first": "SELECT user_id, min(event_id) FILTER (event_type = 'click') AS click, min(event_id) FILTER (event_type = 'view') AS view, min(event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1",
         "last_write_wins": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) = 1",
