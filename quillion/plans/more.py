@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import evaluate, intervals, models
+from ..operators import entities, evaluate, intervals, models
 
 BANDS = [(float("-inf"), 0.0, "debt"), (0.0, 2500.0, "low"), (2500.0, 7500.0, "mid"), (7500.0, float("inf"), "high")]
 STATUS_WEIGHTS = {"F": 0.5, "O": 0.3, "P": 0.2}
@@ -129,7 +129,18 @@ def quality_model(spark, sf_dir):
     return models.apply_quality(models.train_quality(known), docs)
 
 
+def extract_certifications(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(entities.certifications(F.col("text"))).alias("pos", "c"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("c.name").alias("name_md5"), F.col("c.year").alias("year"))
+
+
+def extract_languages(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.explode(entities.languages(F.col("text"))).alias("l"))
+    return rows.select("doc_id", "l.language", "l.proficiency")
+
+
 _QUERIES = (
+    extract_certifications, extract_languages,
     merged_ranges, token_windows, rubric_bands, band_probabilities, weighted_sections, agreement_rate, mismatch_means, span_scores,
     null_counts, distinct_values, best_by_segment, json_pick, chat_messages, win_summary, parser_gate, join_baseline, unlabelled,
     format_durations, quality_model,
@@ -148,10 +159,27 @@ def _sql_phi(z: str) -> str:
     return f"(0.5::DOUBLE * (1 + sign({z}) * (1 - {poly} * exp(-({z}) * ({z}) / 2))))"
 
 
+def _sql_languages(lines: str, spaces: str) -> str:
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    held = lambda words: "CASE " + " ".join(f"WHEN contains(lower(x), '{w}') THEN '{w}'" for w in words) + " END"
+    return f"""WITH u AS (SELECT doc_id, unnest({lines}) AS x FROM documents),
+p AS (SELECT doc_id, x, trim(regexp_extract(x, '{entities.LANG_PAREN}', 1), {spaces}) AS b, regexp_extract(x, '{entities.LANG_PAREN}', 2) AS bl,
+  trim(split_part(x, ',', 1), {spaces}) AS c, trim(substr(x, strpos(x, ',') + 1), {spaces}) AS cl, {held(entities.KNOWN_LANGUAGES)} AS k, {held(entities.LANG_PROFICIENCY)} AS kl
+ FROM u WHERE trim(split_part(lower(x), ':', 1), {spaces}) NOT IN ({quoted(entities.TECH_CATEGORY_HEADERS)})),
+q AS (SELECT doc_id, CASE WHEN lower(b) IN ({quoted(entities.KNOWN_LANGUAGES)}) THEN {{'l': b, 'p': bl}}
+  WHEN contains(x, ',') AND lower(c) IN ({quoted(entities.KNOWN_LANGUAGES)}) THEN {{'l': c, 'p': cl}}
+  WHEN k IS NOT NULL THEN {{'l': upper(k[1]) || k[2:], 'p': kl}} END AS r FROM p)
+SELECT doc_id, r.l AS language, r.p AS proficiency FROM q WHERE r IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    lines = f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {spaces})), lambda x: x != '')"
     words = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
     return {
         "merged_ranges": "WITH s AS (SELECT l_orderkey, max(l_shipdate) AS e FROM lineitem GROUP BY 1), r AS (SELECT o_custkey, o_orderdate AS s, e FROM orders JOIN s ON o_orderkey = l_orderkey WHERE o_orderdate <= e), m AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), n AS (SELECT *, sum((reach IS NULL OR s > reach)::INT) OVER (PARTITION BY o_custkey ORDER BY s, e) AS run FROM m), i AS (SELECT o_custkey, run, min(s) AS s, max(e) AS e FROM n GROUP BY 1, 2) SELECT o_custkey, sum(date_diff('day', s::DATE, e::DATE))::BIGINT AS days, count(*) AS islands FROM i GROUP BY 1",
+        "extract_certifications": f"WITH c AS (SELECT doc_id, list_filter({lines}, lambda x: regexp_matches(lower(x), '{'|'.join(entities.CERT_KEYWORDS)}')) AS c FROM documents), u AS (SELECT doc_id, unnest(range(0, len(c))) AS pos, unnest(c) AS name FROM c) SELECT doc_id, pos, md5(name) AS name_md5, nullif(regexp_extract(name, '{entities.YEAR}', 1), '')::INT AS year FROM u",
+        "extract_languages": _sql_languages(lines, spaces),
         "token_windows": f"WITH d AS (SELECT doc_id, {words} AS n FROM documents), w AS (SELECT doc_id, n, unnest(range(0, greatest(ceil((n - 40) / 440.0), 1)::BIGINT)) AS w FROM d WHERE n > 0) SELECT doc_id, w AS window, w * 440 AS start, least(480, n - w * 440)::BIGINT AS length FROM w".replace("AS window", 'AS "window"'),
         "rubric_bands": "SELECT CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 2500 THEN 'low' WHEN c_acctbal < 7500 THEN 'mid' ELSE 'high' END AS band, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY 1",
         "band_probabilities": f"WITH x AS (SELECT c_custkey, abs(c_acctbal) / 100 AS s FROM customer), p AS (SELECT c_custkey, {_sql_phi('((50 - s - 1e-6) / 12)')} AS w, 1 - {_sql_phi('((72 - s - 1e-6) / 12)')} AS g FROM x), q AS (SELECT *, greatest(0.0::DOUBLE, 1 - w - g) AS a FROM p) SELECT c_custkey, round(w / (w + a + g), 5) AS weak, round(a / (w + a + g), 5) AS average, round(g / (w + a + g), 5) AS strong FROM q",

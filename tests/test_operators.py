@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillion.functions import scoring, text
-from quillion.operators import curate, sections
+from quillion.operators import curate, entities, intervals, sections
 from quillion.plans import registry
 from quillion.sources import files
 
@@ -111,3 +111,50 @@ def test_stream_last_write(spark, tmp_path):
     done = uploads.last_write(stream, "k", "ts").writeStream.outputMode("complete").format("memory").queryName("last").trigger(availableNow=True).start()
     done.awaitTermination()
     assert sorted(map(tuple, spark.table("last").collect())) == [("a", 3, "z"), ("b", 2, "y")]
+
+
+def test_certifications_and_languages(spark):
+    lines = "AWS Certified Developer 2021\n\nplays chess\n  Scrum Master "
+    tongues = "English (Native)\nBengali, fluent speaker\nTools: spanish\nsome French at b2 level\nKlingon (Native)"
+    rows = spark.createDataFrame([(lines, tongues), ("", None), (None, "")], "a string, b string")
+    found = rows.select(entities.certifications(F.col("a")).alias("c"), entities.languages(F.col("b")).alias("l")).collect()
+    assert [(c.name, c.issuer, c.year) for c in found[0].c] == [("AWS Certified Developer 2021", "", 2021), ("Scrum Master", "", None)]
+    assert [tuple(x) for x in found[0].l] == [("English", "Native"), ("Bengali", "fluent speaker"), ("French", "b2")]
+    assert [(r.c, r.l) for r in found[1:]] == [([], []), ([], [])]
+
+
+def test_languages_on_long_lines(spark):
+    rows = spark.createDataFrame([("word " * 100_000 + "x",), ("- English (Native)",), ("speaks English (Native), Thai (A1)",)], "a string")
+    found = [[tuple(x) for x in r.l] for r in rows.select(entities.languages(F.col("a")).alias("l")).collect()]
+    assert found == [[], [("English", "Native")], [("English", "native")]]
+
+
+def test_fusion(spark):
+    rows = spark.createDataFrame([(["Java", "sql", ""], ["SQL", "Go"]), (None, ["x"]), (["x", "y"], None)], "a array<string>, b array<string>")
+    found = rows.select(entities.merged(F.col("a"), F.col("b")).alias("m"), entities.longer(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.m for r in found] == [["Java", "sql", "Go"], ["x"], ["x", "y"]]
+    assert [r.n for r in found] == [["Java", "sql", ""], ["x"], ["x", "y"]]
+    items = spark.createDataFrame([(["Member of a club", "- Volunteer", "President of a club"],)], "i array<string>")
+    assert items.select(entities.leadership(F.col("i")).alias("k")).first().k == ["President of a club"]
+
+
+def test_merged_days(spark):
+    rows = spark.createDataFrame([(1, "2020-01-01", "2020-01-11"), (1, "2020-01-05", "2020-01-15"), (1, "2020-02-01", "2020-02-02"), (1, "2020-03-02", "2020-03-01"), (2, "2020-01-01", None)], "k int, s string, e string")
+    found = intervals.merged_days(rows.select("k", F.to_date("s").alias("s"), F.to_date("e").alias("e")), "k", "s", "e").collect()
+    assert [tuple(r) for r in found] == [(1, 15, 2)]
+
+
+@pytest.mark.parametrize("n, expected", [(0, []), (5, [(0, 5)]), (480, [(0, 480)]), (481, [(0, 480), (440, 41)]), (920, [(0, 480), (440, 480)])])
+def test_token_windows(spark, n, expected):
+    found = intervals.token_windows(spark.createDataFrame([(7, n)], "id int, n int"), "id", F.col("n")).orderBy("start").collect()
+    assert [(r.start, r.length) for r in found] == expected
+
+
+def test_duration_and_bands(spark):
+    rows = spark.createDataFrame([(0,), (5,), (24,), (27,), (None,)], "m int")
+    assert [r[0] for r in rows.select(scoring.format_duration(F.col("m"))).collect()] == ["", "5m", "2y", "2y 3m", ""]
+    from statistics import NormalDist
+
+    got = spark.range(0, 101, 10).select("id", *scoring.band_probabilities(F.col("id").cast("double"))).collect()
+    for s, weak, average, strong in got:
+        assert abs(weak - NormalDist().cdf((50 - s - 1e-6) / 12)) < 1e-6 and abs(weak + average + strong - 1) < 1e-9
