@@ -139,8 +139,19 @@ def extract_languages(spark, sf_dir):
     return rows.select("doc_id", "l.language", "l.proficiency")
 
 
+def extract_education(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(entities.education(F.col("text"))).alias("pos", "e"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "e.*")
+
+
+def extract_projects(spark, sf_dir):
+    """Projects of the texts; the invented prose has titles only by accident."""
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(entities.projects(F.col("text"), ("the", "was"))).alias("pos", "p"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.md5("p.name").alias("name_md5"), F.array_join("p.tools", ",").alias("tools"), "p.link")
+
+
 _QUERIES = (
-    extract_certifications, extract_languages,
+    extract_certifications, extract_languages, extract_education, extract_projects,
     merged_ranges, token_windows, rubric_bands, band_probabilities, weighted_sections, agreement_rate, mismatch_means, span_scores,
     null_counts, distinct_values, best_by_segment, json_pick, chat_messages, win_summary, parser_gate, join_baseline, unlabelled,
     format_durations, quality_model,

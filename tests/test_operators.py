@@ -158,3 +158,28 @@ def test_duration_and_bands(spark):
     got = spark.range(0, 101, 10).select("id", *scoring.band_probabilities(F.col("id").cast("double"))).collect()
     for s, weak, average, strong in got:
         assert abs(weak - NormalDist().cdf((50 - s - 1e-6) / 12)) < 1e-6 and abs(weak + average + strong - 1) < 1e-9
+
+
+def test_education(spark):
+    body = "Bachelor of Science in Physics\nDhaka University | 2015 - 2019\nCGPA: 3.6\n\nHSC\nNotre Dame College, 2014\n\nplays chess well"
+    rows = spark.createDataFrame([(body,), ("",), (None,)], "a string")
+    found = rows.select(entities.education(F.col("a")).alias("e")).collect()
+    assert [tuple(x) for x in found[0].e] == [("Bachelor", "Dhaka University", 2015, 3.6, "Physics"), ("HSC", "Notre Dame College", 2014, 3.6, "")]
+    assert [r.e for r in found[1:]] == [[], []]
+
+
+def test_many_projects(spark):
+    rows = spark.createDataFrame([("\n".join(f"Title{i} - Tool" for i in range(5000)),)], "a string")
+    assert rows.select(F.size(entities.projects(F.col("a")))).first()[0] == 5000
+
+
+def test_projects(spark):
+    body = "Shop - React + Redux\n- cart and checkout.\ngithub.com/a/shop\nBlog (Django)\nwrites posts\n\nSolver\nuses c++ code"
+    rows = spark.createDataFrame([(body,), ("",), (None,)], "a string")
+    found = rows.select(entities.projects(F.col("a"), ("react", "django", "c++")).alias("p")).collect()
+    assert [tuple(x) for x in found[0].p] == [
+        ("Shop", ["react"], "- cart and checkout. github.com/a/shop", "github.com/a/shop"),
+        ("Blog (Django)", ["django"], "writes posts", None),
+        ("Solver", ["c++"], "uses c++ code", None),
+    ]
+    assert [r.p for r in found[1:]] == [[], []]
