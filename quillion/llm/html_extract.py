@@ -69,6 +69,14 @@ SITE_WORDS = frozenset(
     "comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations "
     "more-stories pagination pager paging copyright legal disclaimer search skip contentinfo complementary".split()
 )
+#: Whole class or role names that mark site text inside an article, where single words and ids also name its own sections.
+ARTICLE_SITE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox ad-box ad-container ad-slot ad-unit ad-wrapper sponsored promo outbrain taboola "
+    "nav navbar navigation breadcrumb breadcrumbs toolbar sidebar widget widgets cookie-notice cookie-banner gdpr popup modal "
+    "newsletter newsletter-signup subscribe subscription comment comments commentlist comment-list comments-area respond disqus "
+    "share share-buttons sharing social-share related related-posts related-articles recommended recommendations more-stories "
+    "pagination pager contentinfo complementary".split()
+)
 P_CLOSERS = BLOCK - {"html", "body"}
 
 
@@ -102,7 +110,7 @@ class Page:
                 _, role, article, site = self.stack[-1]
                 self.blocks.append((text, role, article, site))
                 entry = self.roles.get(role)
-                if entry:
+                if entry and not article:  # an article's text is the page's own, however often it comes
                     entry[2].append(text)
                     entry[3] += len(text) if self.links else 0
 
@@ -118,7 +126,7 @@ class Page:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_item(tag)
         _, path, article, site = self.stack[-1]
-        names = set()
+        names, whole = set(), set()
         mark = ""
         if attrs:
             for name, *values in ATTRIBUTE.findall(attrs):
@@ -128,12 +136,13 @@ class Page:
                 else:
                     words = value.lower().split()
                     mark = mark or (words[0] if words else "")
+                    whole.update(words if name != "id" else ())
                     names.update(p for w in words for p in (w, *re.split(r"[^a-z0-9]+", re.sub(r"\d+", "", w))))
-        if names & SITE_WORDS and tag not in ("html", "body", "article", "main"):
+        if (whole & ARTICLE_SITE_NAMES if article else names & SITE_WORDS) and tag not in ("html", "body", "article", "main"):
             site = True
-        elif tag == "article" and names & {"comment", "comments", "reply", "related", "ad", "promo"}:
+        elif tag == "article" and whole & {"comment", "comments", "reply", "related", "ad", "promo"}:
             site = True
-        if tag in SITE_ELEMENTS or (tag == "header" and not article) or (tag == "article" and article and names & SITE_WORDS):
+        if tag in SITE_ELEMENTS or (tag == "header" and not article) or (tag == "article" and article and whole & ARTICLE_SITE_NAMES):
             site = True
         if (tag in ("article", "main") or "main" in names and tag in ("div", "section") and "content" in names) and not site:
             article = True
@@ -183,17 +192,18 @@ def _hash(text: str) -> int:
 
 
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["host", "row", "role", "n", "place", "chars", "links", "text", "article"]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["host", "row", "role", "n", "place", "chars", "links", "text", "article", "page"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
     for batch in batches:
         out: list[tuple] = []
         for host, row, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
             page = Page(html or "")
             inside = any(a and not s for *_, a, s in page.blocks)
-            out.append((host, row, "", 1, -1, 0, 0, _hash(page.text()), inside))
+            whole = _hash(page.text())
+            out.append((host, row, "", 1, -1, 0, 0, whole, inside, whole))
             for role, (n, place, texts, links) in page.roles.items():
                 text = "\n".join(texts)
-                out.append((host, row, role, n, place, len(text), links, _hash(text), inside))
+                out.append((host, row, role, n, place, len(text), links, _hash(text), inside, whole))
         columns = list(zip(*out)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -204,18 +214,18 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     ``pages`` has host, row and html.  Role counts are aggregated before each shuffle; a
     host has at most about twice as many template roles as a page has tokens.
     """
-    schema = "host string, row bigint, role string, n bigint, place bigint, chars bigint, links bigint, text bigint, article boolean"
+    schema = "host string, row bigint, role string, n bigint, place bigint, chars bigint, links bigint, text bigint, article boolean, page bigint"
     found = pages.select("host", "row", "html").mapInArrow(_roles, schema)
     roles = found.groupBy("host", "role").agg(
         F.bit_xor(F.xxhash64("row", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("n"), F.avg("place").alias("place"),
         F.sum("chars").alias("chars"), F.sum("links").alias("links"), F.min("text").alias("t0"), F.max("text").alias("t1"),
-        F.approx_count_distinct("text").alias("texts"), F.max("article").alias("articles"),
+        F.approx_count_distinct("page").alias("texts"), F.max("article").alias("articles"),
     )
-    hosts = roles.where("role = ''").select("host", F.col("pages").alias("all_pages"), F.col("texts").alias("all_texts"), F.col("articles").alias("any_article"))
+    hosts = roles.where("role = ''").select("host", F.col("pages").alias("all_pages"), F.col("articles").alias("any_article"))
     once = roles.where((F.col("role") != "") & (F.col("n") == F.col("pages"))).join(hosts, "host")
     once = once.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") >= F.col("all_pages") * MIN_SHARE))
-    # The same words on every page, while the pages themselves differ.
-    fixed = (F.col("t0") == F.col("t1")) & (F.col("chars") > 0) & (F.col("all_texts") >= MIN_PAGES)
+    # The same words on every page that has them, while those pages differ from each other.
+    fixed = (F.col("t0") == F.col("t1")) & (F.col("chars") > 0) & (F.col("texts") >= MIN_PAGES)
     linked = ~F.col("any_article") & (F.col("links") > F.col("chars") * MAX_LINKS)
     token = F.struct("place", "vector", "role", (~(fixed | linked)).alias("own"))
     return once.groupBy("host").agg(F.sort_array(F.collect_list(token)).alias("template"))

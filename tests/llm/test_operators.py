@@ -252,6 +252,22 @@ def test_html_template(spark):
     assert found == {k: f"Text number {k}." for k in range(5)}
 
 
+def test_html_keeps_article_text(spark):
+    """Copies of one page, and sections of an article whose ids or classes hold a word of site parts."""
+    copy = "<body><article><h1>A copied page</h1><h2>Only here</h2><p class=lead>The same words.</p><p>And more.</p></article></body>"
+    rows = [(k, f"http://c.x/{k}", copy) for k in range(6)]
+    rows += [(k, f"http://c.x/{k}", f"<body><article><p>Another text {k}.</p></article></body>") for k in range(6, 9)]
+    plain = "<body><div class=post><h2>Only here</h2><div class=lead>The same words.</div></div></body>"
+    rows += [(k, f"http://d.x/{k}", plain) for k in range(10, 16)] + [(k, f"http://d.x/{k}", f"<body><div class=post><p>Another text {k}.</p></div></body>") for k in range(16, 19)]
+    parts = "<h2 id='discussion'>Discussion</h2><section id='legal-background'><p>Law</p></section><div class='social-history'>Past</div><div class='ad'>Buy</div>"
+    rows.append((20, "http://e.x/1", f"<body><article class='post no-comments'>{parts}</article></body>"))
+    found = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == "A copied page\n\nOnly here\n\nThe same words.\n\nAnd more." for k in range(6))
+    assert all(found[k] == "Only here\n\nThe same words." for k in range(10, 16))
+    assert all(found[k] == f"Another text {k}." for k in (6, 7, 8, 16, 17, 18))
+    assert found[20] == "Discussion\n\nLaw\n\nPast"
+
+
 def test_language(spark, docs):
     base = table(spark, "/root/testdata/sf0.01", "documents")
     net = lang_id.train(base, docs_per_lang=60)
