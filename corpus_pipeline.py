@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quillion.llm import byte_bpe, decontaminate, ngram_join, pii, quality_rules
 from quillion.llm.common import materialize, rows_at_most, table
 
-#: Ids to drop are broadcast up to this many (16 bytes each).
-BROADCAST_IDS = 100_000
+#: Keys of rows to drop are broadcast up to this many (16 bytes each).
+BROADCAST_KEYS = 100_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,21 +18,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar ones stays: that with the least id.
+    """One row of each component of similar texts stays: that with the least id.
 
-    Shingles of five words, similarity 0.8 or more.  Documents without an id can't be told
-    apart and stay; rows that repeat a kept id and are linked with it are dropped to one.
+    Shingles of five words, similarity 0.8 or more.  Rows are told apart by a digest of all
+    their columns and not by their ids: unlinked rows that share an id stay, linked rows
+    without an id are dropped to one, and so are equal rows.  Texts without words stay.
     """
-    found = materialize(ngram_join.link_components(docs, n=5, percent=80), "components")
-    drop = found.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    if rows_at_most(drop, BROADCAST_IDS):
+    whole = F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"})
+    keyed = docs.withColumn("_key", F.unhex(F.md5(whole.cast("binary"))))
+    found = materialize(ngram_join.link_components(keyed, n=5, percent=80, key_col="_key"), "components")
+    drop = found.where("first_key IS NOT NULL AND _key != first_key").select("_key").distinct()
+    if rows_at_most(drop, BROADCAST_KEYS):
         drop = F.broadcast(drop)
-    kept = docs.join(drop, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL AND doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    kept = keyed.join(drop, "_key", "left_anti")
+    equal = found.where("_key = first_key").groupBy("_key").count().where("count > 1").select("_key")
+    if not equal.isEmpty():
+        one = kept.join(equal, "_key", "left_semi").dropDuplicates(["_key"])
+        kept = kept.join(equal, "_key", "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,8 +98,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch], n: int, percent: int, order: np
         arrays = [
             batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
             pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())),
+            *batch.columns[2:],
         ]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "node", "grp", "prefix", "sketch"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "size", "node", "grp", "prefix", "sketch", *batch.schema.names[2:]])
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -187,12 +188,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the component's least id)."""
-    data = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
+def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the component's least id).
+
+    With ``key_col`` (binary), also each row's key and the ``first_key`` of its component:
+    that of its least id, nulls last, and of the least key among equal ids.
+    """
+    keys = [F.col(key_col).alias("key")] if key_col else []
+    data = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"), *keys)
     texts = data.select("text")
     order = cell_order(texts, n)
-    schema = "id bigint, size bigint, node binary, grp bigint, prefix array<bigint>, sketch array<bigint>"
+    schema = "id bigint, size bigint, node binary, grp bigint, prefix array<bigint>, sketch array<bigint>" + (", key binary" if keys else "")
     rows = materialize(data.mapInArrow(lambda b: tidy(_prefixes(b, n, percent, order)), schema), "prefixes")
 
     nodes = rows.where("size > 0").groupBy("node").agg(F.min("grp").alias("grp"), F.min("size").alias("size"), F.first("sketch").alias("sketch"))
@@ -245,12 +251,15 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     if not late.isEmpty():
         found = components(links.union(late))
 
-    placed = rows.select("id", "size", "node").join(found, "node", "left")
-    placed = placed.select("id", "size", F.when(F.col("size") > 0, F.coalesce("comp", "node")).alias("comp"))
-    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"))
+    more = ["key"] if keys else []
+    placed = rows.select("id", "size", "node", *more).join(found, "node", "left")
+    placed = placed.select("id", "size", F.when(F.col("size") > 0, F.coalesce("comp", "node")).alias("comp"), *more)
+    first = [F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first_key")] if keys else []
+    least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("id").alias("least"), *first)
     return placed.join(least, "comp", "left").select(
-        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
-    )
+        F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"),
+        *([F.col("key").alias(key_col), "first_key"] if keys else []),
+    )
 
 
 def _side(groups: DataFrame, key: str, node: str) -> DataFrame:

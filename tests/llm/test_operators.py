@@ -294,3 +294,15 @@ def test_pipeline(spark):
     for r in out:
         assert bpe.decode(np.frombuffer(r.ids, "<u4")).decode() == texts[r.doc_id]
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_near_duplicates_by_row(spark):
+    """Rows that share an id are told apart; copies without an id are reduced to one."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(1, a, "p"), (2, a, "q"), (2, b, "q"), (3, c, "r"), (3, d, "r"), (None, a + " z", None), (None, "x " + c, None)]
+    rows += [(None, " ".join(f"e{k}" for k in range(40)), None)] * 3 + [(4, b, "s"), (5, d, "t"), (5, d, "t"), (None, "", None), (None, None, None), (6, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = [(r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(out, key=str) == sorted([(1, "a0"), (2, "b0"), (3, "c0"), (3, "d0"), (None, "e0"), (None, ""), (None, ""), (6, "")], key=str)
+    twice = spark.createDataFrame([(7, a, "p")] * 3, "doc_id long, text string, source string")
+    assert corpus_pipeline.near_duplicates(spark, twice, SF).count() == 1
