@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -15,21 +15,31 @@ from ..functions.text import tokens
 K1, B = 1.5, 0.75
 
 
-def bm25_corpus(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """BM25 score of every document for one query text; documents without a hit get 0.
+def _queries(query: DataFrame, query_col: str | None, terms: Column) -> DataFrame:
+    """Query id and terms; without an id column, one query is allowed and more are an error."""
+    if query_col:
+        return query.select(F.col(query_col).alias("_q"), terms.alias("terms"))
+    one = F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one query, but no query_col"))).otherwise(terms)
+    return query.crossJoin(query.agg(F.count("*").alias("_n"))).select(F.lit(0).alias("_q"), one.alias("terms"))
 
-    ``query`` has one row with a column ``text``.  Term counts stay inside each row: a
-    document carries only its counts of the query's terms, so no token is shuffled;
-    document frequencies and lengths are one global aggregate with map-side sums.
+
+def bm25_corpus(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str | None = None) -> DataFrame:
+    """BM25 score of every document for each query text; documents without a hit get 0.
+
+    ``query`` has a column ``text``, and ``query_col`` where it has more than one row; that
+    column then leads the result.  Term counts stay inside each row: a document carries only
+    its counts of a query's terms, so no token is shuffled; document frequencies and lengths
+    are aggregates with map-side sums.
     """
-    terms = query.select(F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("terms")).limit(1)
-    rows = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("words")).crossJoin(F.broadcast(terms))
+    terms = _queries(query, query_col, F.array_sort(F.array_distinct(tokens(F.col("text")))))
+    words = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("words"))
+    rows = words.crossJoin(F.broadcast(terms))
     tf = F.transform("terms", lambda t: F.size(F.filter("words", lambda w: w == t)))
-    rows = rows.select(id_col, F.size("words").alias("dl"), tf.alias("tf"), "terms")
-    seen = rows.select(F.posexplode("tf").alias("k", "n")).where("n > 0").groupBy("k").agg(F.count("*").alias("df"))
-    seen = seen.agg(F.map_from_entries(F.collect_list(F.struct("k", "df"))).alias("dfs"))
-    size = rows.agg(F.count("*").alias("docs"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
-    rows = rows.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(seen))
+    rows = rows.select("_q", id_col, F.size("words").alias("dl"), tf.alias("tf"), "terms")
+    seen = rows.select("_q", F.posexplode("tf").alias("k", "n")).where("n > 0").groupBy("_q", "k").agg(F.count("*").alias("df"))
+    seen = seen.groupBy("_q").agg(F.map_from_entries(F.collect_list(F.struct("k", "df"))).alias("dfs"))
+    size = words.agg(F.count("*").alias("docs"), F.greatest(F.avg(F.size("words")), F.lit(1.0)).alias("avgdl"))
+    rows = rows.crossJoin(F.broadcast(size)).join(F.broadcast(seen.withColumnRenamed("_q", "_s")), F.col("_q").eqNullSafe(F.col("_s")), "left")
 
     def part(n, k):
         df = F.coalesce(F.try_element_at("dfs", k), F.lit(0))
@@ -37,21 +47,26 @@ def bm25_corpus(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_
         return F.when(n == 0, 0.0).otherwise(idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
 
     score = F.aggregate(F.transform("tf", part), F.lit(0.0), lambda a, x: a + x)
-    return rows.select(id_col, F.round(score, 4).alias("score"))
+    lead = [F.col("_q").alias(query_col)] if query_col else []
+    return rows.select(*lead, id_col, F.round(score, 4).alias("score"))
 
 
-def bm25_pair(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Coverage of the query's terms by each document: saturated counts over distinct terms, at most 1."""
-    terms = query.select(F.array_distinct(tokens(F.col("text"))).alias("terms")).limit(1)
+def bm25_pair(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_col: str | None = None) -> DataFrame:
+    """Coverage of each query's terms by each document: saturated counts over distinct terms, at most 1."""
+    terms = _queries(query, query_col, F.array_distinct(tokens(F.col("text"))))
     rows = docs.select(F.col(id_col), tokens(F.col(text_col)).alias("words")).crossJoin(F.broadcast(terms))
     each = F.transform("terms", lambda t: F.size(F.filter("words", lambda w: w == t)))
     total = F.aggregate(F.transform(each, lambda n: n * (K1 + 1) / (n + K1)), F.lit(0.0), lambda a, x: a + x)
     score = F.when(F.size("terms") == 0, 0.0).otherwise(F.least(F.lit(1.0), total / F.size("terms")))
-    return rows.select(id_col, F.round(score, 4).alias("score"))
+    lead = [F.col("_q").alias(query_col)] if query_col else []
+    return rows.select(*lead, id_col, F.round(score, 4).alias("score"))
 
 
-def top_k(rows: DataFrame, k: int, score_col: str = "score", id_col: str = "doc_id") -> DataFrame:
-    """The k best rows with their rank; each task sends k rows at most."""
+def top_k(rows: DataFrame, k: int, score_col: str = "score", id_col: str = "doc_id", by: str | None = None) -> DataFrame:
+    """The k best rows (of each ``by``) with their rank; each task sends k rows at most (of each)."""
+    if by:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score_col), id_col))
+        return rows.withColumn("rank", place).where(F.col("rank") <= k).select(by, "rank", *[c for c in rows.columns if c != by])
     best = rows.orderBy(F.desc(score_col), id_col).limit(k)
     one = best.agg(F.array_sort(F.collect_list(F.struct((-F.col(score_col)).alias("s"), F.col(id_col).alias("i"), F.struct(*rows.columns).alias("r")))).alias("a"))
     return one.select(F.posexplode("a").alias("p", "x")).select((F.col("p") + 1).alias("rank"), "x.r.*")

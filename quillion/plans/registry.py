@@ -11,8 +11,9 @@ from ..functions import scoring, text
 from ..operators import curate, evaluate, ranking, sections
 from . import more
 
-#: The queries ask for benchmark item 0.
+#: The queries of one text ask for benchmark item 0, those of all (``..._each``) for every id that this divides.
 QUERY_ITEM = 0
+EACH = 50
 #: Stand-ins for headings and skills: frequent words of the invented prose.
 DEMO_HEADINGS = (("education", "thing|tion was"), ("skills", "thes|ering|the tion"), ("summary", "zu und|de la"))
 DEMO_TERMS = ("the", "was", "tion")
@@ -26,6 +27,10 @@ def _item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").where(F.col("item_id") == QUERY_ITEM).select("text")
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "benchmark").where(F.col("item_id") % EACH == 0).select("item_id", "text")
+
+
 def bm25_corpus_topk(spark, sf_dir):
     return ranking.top_k(ranking.bm25_corpus(_t(spark, sf_dir, "documents"), _item(spark, sf_dir)), 20)
 
@@ -34,6 +39,14 @@ def bm25_pair_coverage(spark, sf_dir):
     return ranking.bm25_pair(_t(spark, sf_dir, "documents"), _item(spark, sf_dir))
 
 
+def bm25_corpus_topk_each(spark, sf_dir):
+    return ranking.top_k(ranking.bm25_corpus(_t(spark, sf_dir, "documents"), _items(spark, sf_dir), query_col="item_id"), 20, by="item_id")
+
+
+def bm25_pair_coverage_each(spark, sf_dir):
+    return ranking.bm25_pair(_t(spark, sf_dir, "documents"), _items(spark, sf_dir), query_col="item_id")
+
+
 def clean_documents(spark, sf_dir):
     clean = text.clean_text(F.col("text"))
     return _t(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("clean_md5"), F.length(clean).cast("bigint").alias("clean_chars"))
@@ -106,6 +119,13 @@ def cosine_topk(spark, sf_dir):
     return ranking.top_k(scored, 20, id_col="vec_id")
 
 
+def cosine_topk_each(spark, sf_dir):
+    rows = _t(spark, sf_dir, "embeddings")
+    query = rows.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = rows.crossJoin(F.broadcast(query)).select("query_id", "vec_id", scoring.similarity(F.col("embedding"), F.col("q")).alias("score"))
+    return ranking.top_k(scored, 20, id_col="vec_id", by="query_id")
+
+
 def hybrid_blend_rank(spark, sf_dir):
     """Documents by lexical coverage, term overlap and a length rubric."""
     docs = _t(spark, sf_dir, "documents")
@@ -114,6 +134,13 @@ def hybrid_blend_rank(spark, sf_dir):
     return ranking.top_k(rows.select("doc_id", scoring.blend(F.col("lexical"), F.col("lexical"), F.col("rubric")).alias("score")), 20)
 
 
+def hybrid_blend_rank_each(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").withColumn("rubric", F.least(F.lit(100), F.floor(F.length("text") / 50)))
+    pair = ranking.bm25_pair(docs, _items(spark, sf_dir), query_col="item_id").withColumnRenamed("score", "lexical")
+    rows = docs.select("doc_id", "rubric").join(pair, "doc_id")
+    return ranking.top_k(rows.select("item_id", "doc_id", scoring.blend(F.col("lexical"), F.col("lexical"), F.col("rubric")).alias("score")), 20, by="item_id")
+
+
 def skill_search_all(spark, sf_dir):
     rows = ranking.term_search(_t(spark, sf_dir, "documents"), ["ering", "thing", "tion"], True)
     return rows.select("doc_id", F.array_join("matched", ",").alias("matched"))
@@ -196,6 +223,7 @@ _QUERIES = (
     rubric_scores, label_distribution, weakest_sections, score_histogram, cosine_topk, hybrid_blend_rank, skill_search_all, skill_search_any,
     text_macro_features, extract_contacts, split_sections, confusion_metrics, spearman_ties, ndcg_at_10, blend_grid_search, population_stats,
     pivot_first, last_write_wins, hash_split, oversample_counts, near_leaks, event_islands,
+    bm25_corpus_topk_each, bm25_pair_coverage_each, cosine_topk_each, hybrid_blend_rank_each,
 )
 
 
@@ -209,6 +237,13 @@ _PAIR = f"""
 q AS (SELECT DISTINCT unnest({_TOK}) AS t FROM benchmark WHERE item_id = {QUERY_ITEM}),
 d AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents),
 tf AS (SELECT doc_id, t, count(*) AS n FROM d JOIN q USING (t) GROUP BY ALL)"""
+_PAIR_EACH = f"""
+i AS (SELECT item_id, list_distinct({_TOK}) AS ts FROM benchmark WHERE item_id % {EACH} = 0),
+q AS (SELECT item_id, unnest(ts) AS t FROM i),
+d AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents),
+tf AS (SELECT item_id, doc_id, t, count(*) AS n FROM d JOIN q USING (t) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(n * 2.5 / (n + 1.5)) AS s FROM tf GROUP BY ALL),
+p AS (SELECT item_id, doc_id, text, round(least(1.0, coalesce(s / len(ts), 0.0)), 4) AS x FROM documents CROSS JOIN i LEFT JOIN s USING (item_id, doc_id))"""
 _CAND = """
 o AS (SELECT o_custkey, count(*) AS n, sum((o_orderpriority = '1-URGENT')::INT) AS urgent, sum((o_orderstatus = 'F')::INT) AS done FROM orders GROUP BY 1),
 c AS (SELECT c_custkey, coalesce(n, 0)::INT AS n, coalesce(urgent, 0)::INT AS urgent, coalesce(done, 0)::INT AS done FROM customer LEFT JOIN o ON c_custkey = o_custkey),
@@ -271,5 +306,14 @@ SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, sco
         "last_write_wins": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) = 1",
         "hash_split": "WITH h AS (SELECT lang, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 1000 AS k FROM documents) SELECT CASE WHEN k < 75 THEN 'test' WHEN k < 150 THEN 'val' WHEN k < 1000 THEN 'train' END AS split, lang, count(*) AS n FROM h GROUP BY 1, 2",
         "oversample_counts": "SELECT lang, (count(*) * CASE lang WHEN 'es' THEN 6 WHEN 'de' THEN 3 ELSE 1 END)::BIGINT AS n FROM documents GROUP BY lang",
+        "bm25_corpus_topk_each": f"""WITH {_PAIR_EACH},
+len AS (SELECT doc_id, len({_TOK}) AS dl FROM documents),
+st AS (SELECT count(*) AS docs, greatest(avg(dl), 1.0) AS avgdl FROM len), df AS (SELECT item_id, t, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT item_id, doc_id, round(coalesce(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / avgdl))), 0.0), 4) AS score
+ FROM len CROSS JOIN st CROSS JOIN i LEFT JOIN tf USING (item_id, doc_id) LEFT JOIN df USING (item_id, t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM sc QUALIFY rank <= 20""",
+        "bm25_pair_coverage_each": f"WITH {_PAIR_EACH} SELECT item_id, doc_id, x AS score FROM p",
+        "cosine_topk_each": f"WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % {EACH} = 0), s AS (SELECT query_id, vec_id, round(greatest(0.0, least(1.0, list_inner_product(embedding::DOUBLE[], q))), 4) AS score FROM embeddings, q) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20",
+        "hybrid_blend_rank_each": f"WITH {_PAIR_EACH}, b AS (SELECT item_id, doc_id, round(x * 0.5 + x * 0.3 + least(100, floor(length(text) / 50.0)) / 100.0::DOUBLE * 0.2, 4) AS score FROM p) SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM b QUALIFY rank <= 20",
         "event_islands": "WITH a AS (SELECT *, (lag(event_type) OVER w IS DISTINCT FROM event_type)::INT AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM a) SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS size FROM b GROUP BY user_id, run, event_type",
     }

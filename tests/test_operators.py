@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillion.functions import scoring, text
-from quillion.operators import curate, entities, intervals, sections
+from quillion.operators import curate, entities, intervals, ranking, sections
 from quillion.plans import registry
 from quillion.sources import files
 
@@ -183,3 +183,17 @@ def test_projects(spark):
         ("Solver", ["c++"], "uses c++ code", None),
     ]
     assert [r.p for r in found[1:]] == [[], []]
+
+
+def test_search_of_several_queries(spark):
+    """Each query is scored as if it were alone, and none is dropped without an error."""
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "blue fox"), (3, "red red hen"), (4, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "red fox"), (50, "blue hen"), (100, "")], "item_id long, text string")
+    for score in (ranking.bm25_corpus, ranking.bm25_pair):
+        found = sorted(tuple(r) for r in score(docs, queries, query_col="item_id").collect())
+        alone = [(i, *r) for i in (0, 50, 100) for r in score(docs, queries.where(f"item_id = {i}").select("text")).collect()]
+        assert found == sorted(alone) and len(found) == 12
+        with pytest.raises(Exception, match="more than one query"):
+            score(docs, queries.select("text")).collect()
+    best = ranking.top_k(ranking.bm25_pair(docs, queries, query_col="item_id"), 2, by="item_id").collect()
+    assert sorted((r.item_id, r.rank, r.doc_id) for r in best) == [(0, 1, 1), (0, 2, 3), (50, 1, 2), (50, 2, 3), (100, 1, 1), (100, 2, 2)]
