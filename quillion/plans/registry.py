@@ -160,6 +160,11 @@ def extract_contacts(spark, sf_dir):
     return rows.where("email != '' OR linkedin != ''")
 
 
+def extract_contacts_all(spark, sf_dir):
+    """Every document, also those with a phone number only or with no contact."""
+    return _t(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in text.contacts(F.col("text")).items()])
+
+
 def split_sections(spark, sf_dir):
     rows = sections.split_sections(_t(spark, sf_dir, "documents").select("doc_id", "text"), headings=DEMO_HEADINGS)
     return rows.select("doc_id", F.explode("sections").alias("section", "body")).select("doc_id", "section", F.length("body").cast("bigint").alias("chars"))
@@ -224,6 +229,7 @@ _QUERIES = (
     text_macro_features, extract_contacts, split_sections, confusion_metrics, spearman_ties, ndcg_at_10, blend_grid_search, population_stats,
     pivot_first, last_write_wins, hash_split, oversample_counts, near_leaks, event_islands,
     bm25_corpus_topk_each, bm25_pair_coverage_each, cosine_topk_each, hybrid_blend_rank_each,
+    extract_contacts_all,
 )
 
 
@@ -295,6 +301,7 @@ SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, sco
         "skill_search_all": f"WITH t AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, array_to_string({_ANY}, ',') AS matched FROM t WHERE len({_ANY}) = 3",
         "skill_search_any": f"WITH t AS (SELECT doc_id, {_TOK} AS w FROM documents) SELECT doc_id, array_to_string({_ANY}, ',') AS matched, array_to_string(list_filter(['ering', 'thing', 'tion'], lambda x: NOT list_contains(w, x)), ',') AS unmatched FROM t WHERE len({_ANY}) > 0",
         "extract_contacts": "SELECT * FROM (SELECT doc_id, regexp_extract(text, '[\\w.+-]+@[\\w-]+\\.\\w{2,}') AS email, regexp_extract(text, '(?:\\+?\\d{1,3}[-.\\s]?)?(?:\\(?\\d{3}\\)?[-.\\s]?\\d{3}[-.\\s]?\\d{4}|\\d{5}[-.\\s]?\\d{5})') AS phone, regexp_extract(text, '(?i)linkedin\\.com/in/[\\w-]+') AS linkedin FROM documents) WHERE email != '' OR linkedin != ''",
+        "extract_contacts_all": "SELECT doc_id, regexp_extract(text, '[\\w.+-]+@[\\w-]+\\.\\w{2,}') AS email, regexp_extract(text, '(?:\\+?\\d{1,3}[-.\\s]?)?(?:\\(?\\d{3}\\)?[-.\\s]?\\d{3}[-.\\s]?\\d{4}|\\d{5}[-.\\s]?\\d{5})') AS phone, regexp_extract(text, '(?i)linkedin\\.com/in/[\\w-]+') AS linkedin FROM documents",
         "confusion_metrics": f"WITH {_JUDGED}, x AS (SELECT quality AS t, (n_chars >= 1000)::INT AS g FROM j), k AS (SELECT DISTINCT t AS class FROM x UNION SELECT DISTINCT g FROM x) SELECT class, round(coalesce(sum((t = class AND g = class)::INT) / nullif(sum((g = class)::INT), 0), 0.0), 6) AS precision, round(coalesce(sum((t = class AND g = class)::INT) / nullif(sum((t = class)::INT), 0), 0.0), 6) AS recall, round(2 * sum((t = class AND g = class)::INT) / (sum((t = class)::INT) + sum((g = class)::INT)), 6) AS f1, sum((t = class)::INT)::BIGINT AS support FROM k, x GROUP BY class",
         "spearman_ties": f"WITH {_JUDGED}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS a, rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0 AS b FROM j) SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM r",
         "ndcg_at_10": f"WITH {_JUDGED}, r AS (SELECT source, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, row_number() OVER (PARTITION BY source ORDER BY quality DESC, doc_id) AS i FROM j), s AS (SELECT source, sum(CASE WHEN r <= 10 THEN quality / log2(r + 1) END) AS dcg, sum(CASE WHEN i <= 10 THEN quality / log2(i + 1) END) AS idcg FROM r GROUP BY 1) SELECT source, round(dcg / idcg, 6) AS ndcg FROM s WHERE idcg > 0",

@@ -197,3 +197,10 @@ def test_search_of_several_queries(spark):
             score(docs, queries.select("text")).collect()
     best = ranking.top_k(ranking.bm25_pair(docs, queries, query_col="item_id"), 2, by="item_id").collect()
     assert sorted((r.item_id, r.rank, r.doc_id) for r in best) == [(0, 1, 1), (0, 2, 3), (50, 1, 2), (50, 2, 3), (100, 1, 1), (100, 2, 2)]
+
+
+def test_phone_only_contacts_stay(spark, tmp_path):
+    rows = [(1, "call 555-123-4567 now"), (2, "a@b.com"), (3, "nothing"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.email, r.phone) for r in registry.queries()["extract_contacts_all"](spark, str(tmp_path)).collect()}
+    assert set(found) == {1, 2, 3, 4} and found[1] == ("", "555-123-4567") and found[2] == ("a@b.com", "")
