@@ -1,18 +1,17 @@
 """Main text of web pages by template deduction from same-host pages.
 
-Each page is a stream of tokens; a token's role is its path of elements (with class or
-id).  For every role of a host, the occurrence vector over the host's pages is summed
-up in a fingerprint: the exclusive or of a hash of (page, count).  Roles with the same
-fingerprint occur equally often in the same pages and form an equivalence class.  A
-class is valid if its roles come once a page, in half of the pages or more, and their
-mean places order them; valid classes, nested by those places, are the host's template.
-What lies between two template tokens is a slot.  A slot is the page's own text, or
-belongs to the site: its path says so (menus, forms, comments, ...), its text is the
-same on all pages, or it is mostly links.
-
-A page's text is that of its article (or main element); without one, that of its own
-slots; pages of hosts with too few pages fall back on the paths alone.  The fingerprints
-are aggregated before the shuffle, so no host's pages ever meet in one task.
+Rules on tags, classes and ids decide, not equivalence classes: a role is a path of
+elements (with class or id), and roles are judged one at a time.  A role's fingerprint
+(the exclusive or of a hash of (page, count)) is computed but not used yet; roles are
+not grouped into classes, validated or nested, and no slots between template tokens are
+formed.  A role that comes once a page, in half of the host's pages or more, belongs to
+the site if its text outside articles is the same on all pages that have it while those
+pages differ, or if the host has no articles and the role is mostly links.
+
+A page's text is that of its article (or main element), without site parts; without one,
+all text but site parts and the roles above; pages of hosts with too few pages fall back
+on the paths alone.  Roles are aggregated before the shuffle, so no host's pages ever
+meet in one task.
 
 Defined results: null or empty html gives an empty text; a null or odd URL counts as
 host ''; broken markup (unclosed tags, comments, scripts, attributes) is read to the
