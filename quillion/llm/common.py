@@ -11,11 +11,14 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -29,24 +32,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch tables that still stand, and the path of each table that was read back from one.
+_STANDING: set[str] = set()
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (a local one only where none is set)."""
+    """The folder that driver and executors share.
+
+    Where none is set, a local session (as in tests) gets a temporary one; on a cluster it
+    is an error, as each executor would write to its own disk.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillion-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when the driver ends, if not before."""
     path = f"{shared_dir(spark)}/quillion/{uuid.uuid4().hex}-{tag}"
+    _STANDING.add(path)
     atexit.register(drop_path, spark, path)
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path, if the session still lives."""
+    """Delete a scratch path, if it stands and the session still lives."""
+    if path not in _STANDING:
+        return
+    _STANDING.discard(path)
     try:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,12 +74,44 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def read_scratch(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table at a scratch path, which :func:`discard` can delete."""
+    out = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
+    path = scratch_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return read_scratch(df.sparkSession, path, df.schema)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        if path := _PATHS.pop(df, None):
+            drop_path(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written for this block's own use is deleted when it ends."""
+    before = set(_STANDING)
+    try:
+        yield
+    finally:
+        for path in _STANDING - before:
+            drop_path(spark, path)
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until no taken name starts like it (without regard to case)."""
+    lowered = [c.lower() for c in taken]
+    while any(c.startswith(name.lower()) for c in lowered):
+        name = "_" + name
+    return name
 
 
 def words(text: Column) -> Column:

@@ -7,18 +7,20 @@ distance two of its own, so a look-up by the window's own block values finds eve
 whose fingerprint lies within twenty bits.  Found pairs are verified by the exact
 similarity of the two weighted shingle sets (weights: how often a shingle occurs).
 
-A window can only reach the similarity if so many of its shingles occur in some item;
-windows below that count are not fingerprinted, which loses nothing.  Fingerprints of
-texts at the threshold differ in about ten bits, 20 bits being more than three standard
-deviations above.
+Before that, an exact filter: a window can only reach the similarity if so many of its
+shingles occur in some item of its size; windows below that count are not fingerprinted,
+which loses nothing.  Fingerprints of texts at the threshold differ in about ten bits, 20
+bits being more than three standard deviations above.
 
 Words are Unicode letters, digits and underscores, lower-cased; shingles have five words
 (or all words of a shorter item).
 
-Defined results: null or empty documents and items match nothing; a document shorter
-than an item is one window; repeated rows match each by itself; empty tables give empty
-results; of several windows that match one item, the most similar, then the first, is
-returned; matching reads id and text only.
+Defined results: documents and items without text match nothing; an item without an id is
+matched like any other and shows as null; a document shorter than an item is one window;
+repeated rows match each by itself, as repeated items do; empty tables give empty results;
+of several windows that match one item, the most similar, then the first, is returned;
+matching reads id and text only; :func:`drop_contaminated` keeps all columns, whatever
+their names.  Texts of any length are taken in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 #: Items are taken in blocks of about this many, which bounds what is broadcast.
 ITEMS_PER_BLOCK = 20_000
 GATE_BITS = 1 << 22
+#: Windows that are fingerprinted from one running total; bounds the working arrays.
+PASS_WINDOWS = 1 << 14
+
 
 def signs(shingles: np.ndarray) -> np.ndarray:
     """+1 or -1 for each bit of each shingle."""
@@ -54,6 +59,19 @@ def packed(totals: np.ndarray) -> np.ndarray:
     return np.packbits(totals > 0, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def window_prints(shingles: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of windows, some at a time, and their fingerprints; ``at`` is ascending."""
+    low = 0
+    while low < len(at):
+        first = int(at[low])
+        high = int(np.searchsorted(at, first + PASS_WINDOWS))
+        part = shingles[first : int(at[high - 1]) + size]
+        totals = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(part), 0, dtype=np.int32)])
+        here = at[low:high]
+        yield here, packed(totals[here - first + size] - totals[here - first])
+        low = high
+
+
 def block_values(prints: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
     for width in BLOCKS:
@@ -67,7 +85,7 @@ class ItemIndex:
 
     def __init__(self, shingle: int, size: int, items: list[tuple[int, np.ndarray]]):
         self.shingle, self.size = shingle, size
-        self.ids = [i for i, _ in items]
+        self.numbers = [i for i, _ in items]
         self.bags = [Counter(s.tolist()) for _, s in items]
         self.prints = packed(np.array([signs(s).sum(0) for _, s in items]))
         self.tables = []
@@ -86,8 +104,8 @@ class ItemIndex:
             n = high - low
             windows.append(np.repeat(np.arange(len(values)), n))
             items.append(listed[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
-        pairs = np.unique(np.concatenate(windows) * len(self.ids) + np.concatenate(items))
-        window, item = pairs // len(self.ids), pairs % len(self.ids)
+        pairs = np.unique(np.concatenate(windows) * len(self.numbers) + np.concatenate(items))
+        window, item = pairs // len(self.numbers), pairs % len(self.numbers)
         close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
         return window[close], item[close]
 
@@ -95,12 +113,13 @@ class ItemIndex:
 class Benchmark:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str | None]], percent: int):
+    def __init__(self, items: list[tuple[int | None, str | None]], percent: int):
         self.percent = percent
+        self.ids = [i for i, _ in items]  # items are told apart by their number, ids may repeat or be null
         by: dict[tuple[int, int], list] = defaultdict(list)
         members = defaultdict(list)
         hashes = [w for _, each in char_words([t for _, t in items]) for w in each]
-        for (number, _), words in zip(items, hashes):
+        for number, words in enumerate(hashes):
             if len(words):
                 k = min(SHINGLE, len(words))
                 shingles = sequence_hashes(words, k)
@@ -147,7 +166,7 @@ class Benchmark:
             found = maybe[sure]
             own, table = self.of_class[k]
             held = table[place[sure]]
-            counts, totals = held.sum(0), None
+            counts = held.sum(0)
             for column, index in enumerate(own):
                 size = min(index.size, len(shingles))
                 need = -(-self.percent * (size + index.size) // (100 + self.percent))
@@ -159,25 +178,24 @@ class Benchmark:
                 at = np.flatnonzero(listed[size:] - listed[:-size] >= need)
                 if not len(at):
                     continue
-                if totals is None:
-                    totals = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(shingles), 0, dtype=np.int32)])
-                window, item = index.near(packed(totals[at + size] - totals[at]))
-                for w, i in zip(at[window].tolist(), item.tolist()):
-                    bag = Counter(shingles[w : w + size].tolist())
-                    common = sum((bag & index.bags[i]).values())
-                    union = size + index.size - common
-                    if common * 100 >= union * self.percent:
-                        got = (common / union, -w, size + k - 1)
-                        best[index.ids[i]] = max(best.get(index.ids[i], got), got)
-        return [(i, -w, n, s) for i, (s, w, n) in sorted(best.items())]
+                for places, prints in window_prints(shingles, at, size):
+                    window, item = index.near(prints)
+                    for w, i in zip(places[window].tolist(), item.tolist()):
+                        bag = Counter(shingles[w : w + size].tolist())
+                        common = sum((bag & index.bags[i]).values())
+                        union = size + index.size - common
+                        if common * 100 >= union * self.percent:
+                            got = (common / union, -w, size + k - 1)
+                            best[index.numbers[i]] = max(best.get(index.numbers[i], got), got)
+        return [(self.ids[i], -w, n, s) for i, (s, w, n) in sorted(best.items())]
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
-    """The items, a bounded block at a time."""
-    rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    """The items, a block of about ``ITEMS_PER_BLOCK`` at a time; ids and texts decide the block."""
+    rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     parts = max(1, -(-rows.count() // ITEMS_PER_BLOCK))
     for part in range(parts):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id", "text").collect()]
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).orderBy("id", "text").collect()]
 
 
 def _match(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
