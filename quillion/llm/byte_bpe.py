@@ -5,18 +5,23 @@ rules (end of a white-space run, contractions) refine the class; each class is a
 transition function on eight automaton states.  Functions compose associatively, so
 block products are scanned instead of characters, and all token starts of a batch
 come out of a few array passes.  The slices between starts feed pair merging, which
-works on all unseen slices at once and caches what it finds.
-
-Defined results: a null text counts as empty and gives no ids; very long texts and
-single slices of any length are whole (long slices take a heap-driven merge in
-n log n); repeated rows are encoded each by itself; an empty table gives an empty
-table; input columns named like an output column are replaced.
+works on all unseen slices at once and caches what it finds.  Each id keeps the byte
+offset at which its token ends; decoding puts every token's bytes at the place that its
+offset names, and a span of bytes is decoded without the tokens around it.
+
+Defined results: a null text counts as empty and gives no ids; very long texts are
+taken in passes (cut at a blank between two words, where a token always starts) and
+give the ids of the whole; single slices of any length are whole (long slices take a
+heap-driven merge in n log n); offsets that do not fit their ids are an error, null ids
+decode to no bytes; repeated rows are encoded each by itself; an empty table gives an
+empty table; input columns named like an output column are replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import fresh, tidy
+from .hashing import passes
 
 # Symbols: what a character is to the automaton.
 LETTER, NUMBER, OTHER, QUOTE2, QUOTE3, SPACE_BEFORE, BREAK_BEFORE, GAP, RESET = range(9)
 # States: what the current token is so far.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_GAP, JOINED, ONE_LEFT, TWO_LEFT = range(8)
-#: Characters that one pass of the scan takes; bounds the working arrays.
-PASS_CHARS = 1 << 18
+#: A place where a token starts whatever comes before: a blank between two words.
+BETWEEN_WORDS = re.compile(r"(?<=\w) (?=\w)")
+#: Tokens that are put together at once in decoding; bounds the working arrays.
+PASS_TOKENS = 1 << 18
 #: Distinct slices that a worker remembers before it starts anew.
 CACHE_SLICES = 300_000
 #: Longer slices are merged one by one with a heap.
@@ -123,6 +131,8 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(x) for x in self.tokens], np.int64)
+        self.begin_of = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.pairs = None  # made when first encoding
         self.forget()
 
@@ -278,16 +288,12 @@ class ByteBpe:
         """Ids of each text, and the byte offset at which each id's token ends."""
         if self.pairs is None:
             self.prepare()
-        out_ids, out_ends, low = [], [], 0
-        while low < len(texts):
-            high, chars = low, 0
-            while high < len(texts) and (high == low or chars + len(texts[high]) <= PASS_CHARS):
-                chars += len(texts[high])
-                high += 1
-            pieces, upto = self.slices(texts[low:high])
+        out_ids, out_ends, held = [], [], []
+        for pieces, goes_on in passes(texts, BETWEEN_WORDS):
+            slices, upto = self.slices(pieces)
             if len(self.cache) > CACHE_SLICES:
                 self.forget()
-            where = np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))
+            where = np.fromiter(map(self.cache.__getitem__, slices), np.int64, len(slices))
             if self.cache.new:
                 new, self.cache.new = self.cache.new, []
                 self._learn(new)
@@ -295,16 +301,48 @@ class ByteBpe:
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
             flat = self.table[np.repeat(self.begins[where] - (ends - sizes), sizes) + np.arange(total)]
+            if goes_on:
+                held.append(flat)
+                continue
+            cut = np.concatenate([[0], ends])[upto]
+            if held:  # the first of these pieces ends a longer text
+                before = np.concatenate(held)
+                flat, cut, held = np.concatenate([before, flat]), cut + len(before), []
             passed = np.concatenate([[0], np.cumsum(self.lengths[flat])])
-            cut = np.concatenate([[0], ends])[upto].tolist()
+            cut = cut.tolist()
             for a, b in zip([0, *cut[:-1]], cut):
                 out_ids.append(flat[a:b])
                 out_ends.append(passed[a + 1 : b + 1] - passed[a])
-            low = high
         return out_ids, out_ends
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def _placed(self, ids: np.ndarray, ends: np.ndarray) -> bytes:
+        """The bytes of consecutive tokens, each at the place that its end names."""
+        sizes = self.lengths[ids]
+        begins = ends.astype(np.int64) - sizes
+        if len(ids) and ((begins[1:] != ends[:-1]).any() or begins[0] < 0):
+            raise ValueError("offsets do not fit the ids")
+        first = int(begins[0]) if len(ids) else 0
+        total = int(sizes.sum())
+        return self.flat[np.repeat(self.begin_of[ids] - (begins - first), sizes) + np.arange(total)].tobytes()
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray | None = None) -> bytes:
+        """The bytes of a text's ids; without stored offsets, these are counted anew."""
+        if ends is None:
+            ends = np.cumsum(self.lengths[ids])
+        elif len(ends) != len(ids) or (len(ids) and int(ends[0]) != self.lengths[ids[0]]):
+            raise ValueError("offsets do not fit the ids")
+        if len(ids) <= PASS_TOKENS:
+            return self._placed(ids, ends)
+        return b"".join(self._placed(ids[low : low + PASS_TOKENS], ends[low : low + PASS_TOKENS]) for low in range(0, len(ids), PASS_TOKENS))
+
+    def decode_span(self, ids: np.ndarray, ends: np.ndarray, start: int, stop: int) -> bytes:
+        """The bytes from ``start`` to ``stop`` of a text, from the tokens that touch them."""
+        first, last = np.searchsorted(ends, [start, stop - 1], "right").tolist()
+        if stop <= start or first >= len(ids):
+            return b""
+        found = self._placed(ids[first : last + 1], ends[first : last + 1])
+        skipped = start - (int(ends[first]) - int(self.lengths[ids[first]]))
+        return found[skipped : skipped + stop - start]
 
 
 _CLASSES: np.ndarray | None = None
@@ -342,7 +380,7 @@ def codec(name: str, data: bytes | None = None) -> ByteBpe:
     return _CODECS[name]
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ranks: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ranks: str, keep: list[str], ends_col: str = "ends") -> Iterator[pa.RecordBatch]:
     bpe = codec(ranks)
     bpe.forget()
     for whole in batches:
@@ -356,19 +394,21 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ranks: str
                 pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
                 pa.array([x.astype("<u4").tobytes() for x in ends], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids", "ends"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "ids", ends_col])
     bpe.forget()  # the worker may go on to other work
 
 
-def _decode_batches(batches: Iterator[pa.RecordBatch], ranks: str) -> Iterator[pa.RecordBatch]:
+def _decode_batches(batches: Iterator[pa.RecordBatch], ranks: str, ends_col: str | None, drop_ends: bool) -> Iterator[pa.RecordBatch]:
     bpe = codec(ranks)
+    ints = lambda x: np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else None
     for whole in batches:
-        if "ends" in whole.schema.names:
-            whole = whole.drop_columns("ends")
         for low in range(0, whole.num_rows, 512):
             batch = whole.slice(low, 512)
             ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [bpe.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else b"" for x in ids]
+            ends = batch.column(batch.schema.get_field_index(ends_col)) if ends_col else [None] * len(ids)
+            texts = [bpe.decode(ints(x), ints(e) if ends_col else None) if x.is_valid else b"" for x, e in zip(ids, ends)]
+            if drop_ends:
+                batch = batch.drop_columns(ends_col)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
 
@@ -381,21 +421,29 @@ def encode_texts(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text_col
     keep = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "ids", "ends")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("ends", T.BinaryType())])
-    return docs.mapInArrow(lambda batches: tidy(_encode_batches(batches, text_col, ranks, names)), schema)
+    return docs.select(*names, text_col).mapInArrow(lambda batches: tidy(_encode_batches(batches, text_col, ranks, names)), schema)
 
 
 def decode_ids(rows: DataFrame, ranks: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """Add ``decoded`` (the bytes of ``ids``) and drop ``ends``."""
-    rows = rows.drop("ends", "decoded")
+    """Add ``decoded``, the bytes of ``ids``, through the offsets in ``ends`` where there are any."""
+    rows = rows.drop("decoded")
+    ends = "ends" if "ends" in rows.columns else None
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return rows.mapInArrow(lambda batches: tidy(_decode_batches(batches, ranks)), schema)
+    return rows.mapInArrow(lambda batches: tidy(_decode_batches(batches, ranks, ends, False)), schema)
 
 
 def round_trip(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", text_col: str = "text") -> DataFrame:
-    """As :func:`decode_ids` of :func:`encode_texts`, in one pass of one worker per task."""
-    coded = encode_texts(docs.drop("decoded"), ranks, text_col).drop("ends")
-    keep = [c for c in coded.columns if c not in ("n_tokens", "ids")]
-    schema = T.StructType([*coded.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return docs.select(*keep, text_col).mapInArrow(
-        lambda batches: tidy(_decode_batches(_encode_batches(batches, text_col, ranks, keep), ranks)), schema
-    )
+    """Replace the text by n_tokens, ids and decoded, in one pass of one worker per task.
+
+    As :func:`decode_ids` of :func:`encode_texts`; the offsets do not leave the worker.
+    """
+    keep = [f for f in docs.schema.fields if f.name not in (text_col, "n_tokens", "ids", "decoded")]
+    names = [f.name for f in keep]
+    ends = fresh(names, "ends")
+    schema = T.StructType([*keep, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = _encode_batches(batches, text_col, ranks, names, ends)
+        return tidy(_decode_batches(coded, ranks, ends, True))
+
+    return docs.select(*names, text_col).mapInArrow(both, schema)
