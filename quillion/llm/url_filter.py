@@ -2,7 +2,8 @@
 
 Each URL is expanded into its host suffixes joined with its path prefixes; the
 expressions meet the rules in an equi-join on a short hash prefix; the full digest
-confirms a hit; the longest rule wins.
+confirms a hit; the longest rule wins.  A URL that no rule fits is allowed: block rules
+are given, never guessed from the URL's words.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and fits no rule; a rule of the same length and text as another keeps ``block``;
@@ -27,8 +28,8 @@ DEFAULT_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: A host with one of these words between dots and hyphens is blocked where no rule fits.
-BLOCKED_HOST_WORDS = ("adult", "porn", "xxx", "sex", "casino", "gambling", "spam", "phishing", "malware", "warez")
+#: The verdict on a URL that no rule fits.
+DEFAULT_VERDICT = "allow"
 #: Hex digits of the short hash prefix that rules and expressions are joined on.
 SHORT = 8
 #: Rules are broadcast up to this many rows (about 200 bytes each), else shuffled.
@@ -83,8 +84,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url_col
     confirmed = F.col("digest") == F.col("r_digest")
     best = F.struct(F.col("r_length"), (F.col("r_verdict") == "block").alias("blocks"), F.col("r_rule"), F.col("r_verdict"))
     out = met.groupBy("row", "id", "host", "path").agg(F.max(F.when(confirmed, best)).alias("best"))
-    words = "|".join(BLOCKED_HOST_WORDS)
-    method = F.when(F.col("host").rlike(rf"(?:^|[.-])(?:{words})(?:[.-]|$)"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select(
-        F.col("id").alias(key), "host", "path", F.col("best.r_rule").alias("rule"), F.coalesce(F.col("best.r_verdict"), method).alias("verdict")
+        F.col("id").alias(key), "host", "path", F.col("best.r_rule").alias("rule"), F.coalesce(F.col("best.r_verdict"), F.lit(DEFAULT_VERDICT)).alias("verdict")
     )
