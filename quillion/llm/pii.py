@@ -2,23 +2,33 @@
 
 Detectors find candidates; validators (Luhn, mod 97, calendar, octet range, digit
 count) decide; what is found is read as a number in the mixed radix of its own format
-and permuted by a keyed Feistel network with cycle walking.  So a pseudonym has its
-original's format, passes its validator, and is the same wherever the value occurs.
+and permuted by a keyed Feistel network with cycle walking; values of many characters go
+through a Feistel network on their two halves, in time linear in their length.  So a
+pseudonym has its original's format and length, passes its validator, is the same wherever
+the value occurs, and no two values of a format share one.
+
+A date's format is its separator, the order of its fields and the width of day and month.
+Within it, the dates of 1900 to 2099 are permuted among themselves, and so are those of
+all other years from 1 to 9999.  Where day or month may come first, the format's values
+are all strings that are a date in either order.
 
 Defined results: a null text stays null with no findings; texts of any length are read
 whole; repeated rows give repeated results; an empty table gives an empty result; input
-columns named like an output column are replaced.  Numbers below nine digits, version
-numbers and impossible dates or addresses are left alone.
+columns named like an output column are replaced, all others stay.  Numbers below nine
+digits, version numbers and impossible dates or addresses are left alone.
 """
 
 from __future__ import annotations
 
-import datetime
 import hashlib
 import re
+from bisect import bisect_right
+from calendar import isleap
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -33,7 +43,12 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 PLACE = {c: (a, a.index(c)) for a in ALPHABETS for c in a}
 HEX = {c: ("0123456789abcdef", "0123456789abcdef".index(c)) for c in "0123456789abcdef"}
 HEX_UPPER = {c: ("0123456789ABCDEF", "0123456789ABCDEF".index(c)) for c in "0123456789ABCDEF"}
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to the end of 2099
+#: Dates of these years stay among themselves.
+MODERN = range(1900, 2100)
+LAST_YEAR = 9999
+MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+#: Longer values take the network of linear time.
+LONG_VALUE = 64
 
 
 class Permuter:
@@ -68,8 +83,24 @@ class Permuter:
             if value < n:
                 return value
 
+    def _stream(self, purpose: bytes, k: int, half: np.ndarray, size: int) -> np.ndarray:
+        """Bytes that depend on a half of a value."""
+        seed = hashlib.blake2b(b"%s|%d|%d|" % (purpose, k, size) + half.tobytes(), key=self.key).digest()
+        return np.frombuffer(hashlib.shake_256(seed).digest(2 * size), "<u2")
+
+    def digits(self, purpose: bytes, value: np.ndarray, radix: np.ndarray) -> np.ndarray:
+        """Permute a value of any length, given as digits of their own radix each."""
+        half = len(value) // 2
+        parts, bases = [value[:half], value[half:]], [radix[:half], radix[half:]]
+        for k in range(ROUNDS):
+            new, old = k % 2, 1 - k % 2
+            parts[new] = (parts[new] + self._stream(purpose, k, parts[old], len(parts[new]))) % bases[new]
+        return np.concatenate(parts)
+
     def chars(self, purpose: bytes, text: str, places: dict = PLACE) -> str:
         """Permute the characters that have a place, each within its alphabet."""
+        if len(text) > LONG_VALUE:
+            return self._long(purpose, text, places)
         value, n, at = 0, 1, []
         for k, c in enumerate(text):
             if c in places:
@@ -85,6 +116,19 @@ class Permuter:
         return "".join(out)
 
 
+    def _long(self, purpose: bytes, text: str, places: dict) -> str:
+        at = [k for k, c in enumerate(text) if c in places]
+        found = [places[text[k]] for k in at]
+        value = np.array([d for _, d in found], np.int64)
+        radix = np.array([len(a) for a, _ in found], np.int64)
+        shape = "".join(places[c][0][0] if c in places else c for c in text)
+        purpose = purpose + b"|" + hashlib.blake2b(shape.encode("utf-8", "surrogatepass")).digest()
+        out = list(text)
+        for k, (alphabet, _), d in zip(at, found, self.digits(purpose, value, radix).tolist()):
+            out[k] = alphabet[d]
+        return "".join(out)
+
+
 def luhn_sum(digits: str) -> int:
     """Luhn sum with the last digit counted once."""
     double = [int(d) for d in digits[-2::-2]]
@@ -141,25 +185,55 @@ def _iban(p: Permuter, m: re.Match) -> str | None:
     return "".join(" " if c == " " else next(new) for c in m[0])
 
 
-def _day(p: Permuter, year: int, month: int, day: int) -> datetime.date | None:
-    try:
-        at = datetime.date(year, month, day).toordinal() - FIRST_DAY
-    except ValueError:
-        return None
-    return datetime.date.fromordinal(FIRST_DAY + p.number(b"date", at, DAYS)) if 0 <= at < DAYS else None
+class DateFormat:
+    """All values of a format of dates: pairs of fields by year, in one row of numbers.
+
+    ``widths`` are those of the two fields beside the year (1: no leading zero, so 1 to 9;
+    2: two digits).  ``either``: a pair counts if it is a day and month in either order;
+    else the first is the month.
+    """
+
+    def __init__(self, widths: tuple[int, int], either: bool):
+        self.pairs: dict[bool, list[tuple[int, int]]] = {}
+        self.rank: dict[bool, dict[tuple[int, int], int]] = {}
+        fields = [range(1, 10) if w == 1 else range(1, 32) for w in widths]
+        for leap in (False, True):
+            days = [29 if leap and m == 2 else d for m, d in enumerate(MONTH_DAYS, 1)]
+            fits = lambda month, day, days=days: 1 <= month <= 12 and day <= days[month - 1]
+            self.pairs[leap] = [(a, b) for a in fields[0] for b in fields[1] if fits(a, b) or (either and fits(b, a))]
+            self.rank[leap] = {pair: k for k, pair in enumerate(self.pairs[leap])}
+        sizes = lambda years: [len(self.pairs[isleap(y)]) for y in years]
+        others = [y for y in range(1, LAST_YEAR + 1) if y not in MODERN]
+        self.eras = [(years, [0, *accumulate(sizes(years))]) for years in (list(MODERN), others)]
+
+    def permuted(self, p: Permuter, purpose: bytes, year: int, a: int, b: int) -> tuple[int, int, int] | None:
+        """Another value of the format, or None if this is none."""
+        rank = self.rank[isleap(year)].get((a, b)) if year else None
+        if rank is None:
+            return None
+        era = 0 if year in MODERN else 1
+        years, offsets = self.eras[era]
+        at = year - MODERN[0] if era == 0 else year - 1 - (len(MODERN) if year > MODERN[-1] else 0)
+        new = p.number(b"%s|%d" % (purpose, era), offsets[at] + rank, offsets[-1])
+        at = bisect_right(offsets, new) - 1
+        return years[at], *self.pairs[isleap(years[at])][new - offsets[at]]
+
+
+@lru_cache(None)
+def date_format(first: int, second: int, either: bool) -> DateFormat:
+    return DateFormat((first, second), either)
 
 
 def _iso_date(p: Permuter, m: re.Match) -> str | None:
-    new = _day(p, int(m[1]), int(m[3]), int(m[4]))
-    return new and f"{new.year:04d}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
+    year, mark, month, day = m.groups()
+    new = date_format(len(month), len(day), False).permuted(p, f"iso{mark}{len(month)}{len(day)}".encode(), int(year), int(month), int(day))
+    return new and f"{new[0]:04d}{mark}{new[1]:0{len(month)}d}{mark}{new[2]:0{len(day)}d}"
 
 
 def _local_date(p: Permuter, m: re.Match) -> str | None:
-    a, mark, b, year = int(m[1]), m[2], int(m[3]), int(m[4])
-    if new := _day(p, year, b, a):
-        return f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year:04d}"
-    new = _day(p, year, a, b)
-    return new and f"{new.month:02d}{mark}{new.day:02d}{mark}{new.year:04d}"
+    a, mark, b, year = m.groups()
+    new = date_format(len(a), len(b), True).permuted(p, f"local{mark}{len(a)}{len(b)}".encode(), int(year), int(a), int(b))
+    return new and f"{new[1]:0{len(a)}d}{mark}{new[2]:0{len(b)}d}{mark}{new[0]:04d}"
 
 
 def _secret(p: Permuter, m: re.Match) -> str:
@@ -181,8 +255,8 @@ DETECTORS: tuple[tuple[str, re.Pattern, Callable], ...] = (
     ("secret", re.compile(r"((?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?)[^\s\"'<>,;]{8,}"), _assigned),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
     ("ssn", re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
-    ("date", re.compile(r"(?<![\w./-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\w/-]|\.\d)"), _iso_date),
-    ("date", re.compile(r"(?<![\w./-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\w/-]|\.\d)"), _local_date),
+    ("date", re.compile(r"(?<![\w./-])([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})(?![\w/-]|\.\d)"), _iso_date),
+    ("date", re.compile(r"(?<![\w./-])([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})(?![\w/-]|\.\d)"), _local_date),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _address),
     ("phone", re.compile(r"(?<![\w.])(\+\d{1,3}[ .-]?)(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)"), _phone),
     ("phone", re.compile(r"(?<![\w.+-])()(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])"), _phone),
