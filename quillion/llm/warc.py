@@ -7,9 +7,10 @@ Spark's own writer, so any store will do, and read back as whole files whose siz
 writer bounds by a count of records.
 
 Reading: records are parsed by their Content-Length; segments of one origin are
-grouped, ordered by number and joined; a total length that does not fit, or a missing
-segment, makes the record ``complete`` = false; the HTTP head is split off and the chunked
-framing undone.
+grouped, ordered by number and joined; the HTTP head is split off and the chunked
+framing undone.  A record is ``complete`` = false, without a payload, if a segment is
+missing, a total length does not fit, the file ends within it, its length or numbers
+can't be read, or its chunked framing is broken; reading goes on at the next record.
 
 Defined results: a null payload counts as empty; null keys are written and read as null;
 rows that repeat the first record's key and payload are responses too (a revisit always
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rows_at_most, scratch_path
+from .common import rows_at_most, scratch_path, tidy
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -131,19 +132,39 @@ def write_archives(
     records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+_CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[ \t]*(?:;.*)?", re.S)
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
 _NUMBER = ("WARC-Page-Key", "WARC-Refers-To-Key", "WARC-Segment-Number", "WARC-Segment-Total-Length")
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an uncompressed archive."""
+def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields and block of each record of an uncompressed archive.
+
+    The block is None where the length is missing or unreadable, or the data end before it.
+    """
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.index(b"\r\n\r\n", at)
-        fields = {a.decode("latin-1"): b.decode("utf-8", "replace").strip() for a, b in _FIELD.findall(data, data.index(b"\r\n", at), stop)}
-        size = int(fields["Content-Length"])
-        yield fields, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        stop = data.find(b"\r\n\r\n", at)
+        head = data[at : stop if stop >= 0 else len(data)]
+        fields = {a.decode("latin-1"): b.decode("utf-8", "replace").strip() for a, b in _FIELD.findall(head, max(0, head.find(b"\r\n")))}
+        size = _number(fields.get("Content-Length"))
+        if stop < 0 or size is None:
+            yield fields, None
+            at += 5
+            continue
+        block = data[stop + 4 : stop + 4 + size]
+        yield fields, block if len(block) == size else None
+        at = stop + 4 + len(block)
+
+
+def _signed(text: str | None) -> int | None:
+    found = _number(text.removeprefix("-")) if text else None
+    return -found if found is not None and text.startswith("-") else found
+
+
+def _number(text: str | None) -> int | None:
+    """A number from 0 to the greatest of 63 bits, or None."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) < 19 else None
 
 
 def gunzip(data: bytes) -> bytes:
@@ -151,25 +172,32 @@ def gunzip(data: bytes) -> bytes:
     out = []
     while data[:2] == b"\x1f\x8b":
         one = zlib.decompressobj(31)
-        out.append(one.decompress(data))
+        try:
+            out.append(one.decompress(data))
+        except zlib.error:  # what came before it still counts
+            break
         data = one.unused_data
     return b"".join(out) if out else data
 
 
-def http_payload(block: bytes) -> bytes:
-    """The payload of an HTTP response, its chunked framing undone."""
+def http_payload(block: bytes) -> bytes | None:
+    """The payload of an HTTP response, its chunked framing undone; None if that is broken."""
     head, _, body = block.partition(b"\r\n\r\n")
     if not re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", head):
         return body
     out, at = [], 0
-    while at < len(body):
-        stop = body.index(b"\r\n", at)
-        size = int(body[at:stop].split(b";")[0], 16)
+    while True:
+        stop = body.find(b"\r\n", at)
+        size = _CHUNK_SIZE.fullmatch(body[at:stop]) if stop >= 0 else None
+        if not size:
+            return None
+        size = int(size[1], 16)
         if size == 0:
-            break
+            return b"".join(out)
+        if body[stop + 2 + size : stop + 4 + size] != b"\r\n":
+            return None
         out.append(body[stop + 2 : stop + 2 + size])
-        at = stop + 2 + size + 2
-    return b"".join(out)
+        at = stop + 4 + size
 
 
 RECORD_SCHEMA = (
@@ -187,9 +215,11 @@ def _parse(batches: Iterator[pa.RecordBatch], segmented: bool) -> Iterator[pa.Re
             for f, block in parse_records(gunzip(content)):
                 if ("WARC-Segment-Number" in f) != segmented:
                     continue
-                page, refers, seg, total = (int(f[k]) if f.get(k) else None for k in _NUMBER)
+                page, refers = (_signed(f.get(k)) for k in _NUMBER[:2])
+                seg, total = (_number(f.get(k)) for k in _NUMBER[2:])
                 own = f.get("WARC-Record-ID")
                 digest = f.get("WARC-Payload-Digest", "").rpartition(":")[2] or None
+                seg = seg if seg is None or seg < 1 << 31 else None
                 rows.append((own, f.get("WARC-Type"), page, refers, digest, f.get("WARC-Segment-Origin-ID", own), seg, total, block))
                 if len(rows) == 512:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -206,13 +236,12 @@ def stated_length(block: bytes) -> int | None:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = batch.schema.get_field_index("block")
-        blocks = batch.column(at).to_pylist()
-        kinds = batch.column(batch.schema.get_field_index("record_type")).to_pylist()
+        blocks, kinds, complete = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "record_type", "complete"))
         found = [http_payload(x) if x is not None and k == "response" else None for x, k in zip(blocks, kinds)]
+        complete = [c and (p is not None or k != "response") for c, p, k in zip(complete, found, kinds)]
         sizes = [len(p) if p is not None else stated_length(x or b"") for p, x in zip(found, blocks)]
-        arrays = [*batch.columns[:at], pa.array(sizes, pa.int64()), pa.array(found, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:at], "payload_bytes", "payload"])
+        arrays = [*batch.columns[:5], pa.array(complete, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:5], "complete", "payload_bytes", "payload"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -224,8 +253,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     one record, so no larger than the record itself.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
-    whole = files.mapInArrow(lambda b: _parse(b, False), RECORD_SCHEMA)
-    parts = files.mapInArrow(lambda b: _parse(b, True), RECORD_SCHEMA)
+    whole = files.mapInArrow(lambda b: tidy(_parse(b, False)), RECORD_SCHEMA)
+    parts = files.mapInArrow(lambda b: tidy(_parse(b, True)), RECORD_SCHEMA)
     first = F.col("seg") == 1
     pick = lambda c: F.max(F.when(first, F.col(c))).alias(c)
     joined = parts.groupBy("origin").agg(
@@ -235,13 +264,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     block = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["block"]))
     joined = joined.withColumn("block", block)
     complete = (
-        (F.octet_length("block") == F.col("total")) & (F.get(F.col("parts"), F.lit(0))["seg"] == 1) & (F.get(F.col("parts"), F.size("parts") - 1)["seg"] == F.size("parts"))
+        (F.octet_length("block") == F.col("total")) & F.forall("parts", lambda x: x["block"].isNotNull()) & (F.get(F.col("parts"), F.lit(0))["seg"] == 1) & (F.get(F.col("parts"), F.size("parts") - 1)["seg"] == F.size("parts"))
     )
     joined = joined.select(F.col("origin").alias("record_id"), "record_type", "key", "refers_to", "digest", F.coalesce(complete, F.lit(False)).alias("complete"), "block")
-    whole = whole.select("record_id", "record_type", "key", "refers_to", "digest", F.lit(True).alias("complete"), "block")
+    whole = whole.select("record_id", "record_type", "key", "refers_to", "digest", F.col("block").isNotNull().alias("complete"), "block")
     rows = whole.unionByName(joined.withColumn("block", F.when(F.col("complete"), F.col("block"))))
     schema = "record_id string, record_type string, key bigint, refers_to bigint, digest string, complete boolean, payload_bytes bigint, payload binary"
-    return rows.mapInArrow(_payloads, schema)
+    return rows.mapInArrow(lambda b: tidy(_payloads(b)), schema)
 
 
 def archive_table(pages: DataFrame) -> DataFrame:
