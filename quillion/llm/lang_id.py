@@ -19,7 +19,6 @@ label are read, and the label for training alone.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 WINDOW = 192
 DOCS_PER_LANG = 300
 WINDOWS_PER_DOC = 3
@@ -36,7 +37,11 @@ DIM = 8
 EPOCHS = 8
 BATCH = 64
 RATE = 4e-3
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of one of Unicode's letter categories (other numerals and symbols are none)."""
+    return any(map(str.isalpha, text))
 
 
 def held_out(id_col: Column) -> Column:
@@ -154,7 +159,7 @@ class Predictor:
         return np.log(np.maximum(softmax(hidden @ self.net.p["o"] + self.net.p["c"]), 1e-9))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        keep = [k for k, t in enumerate(texts) if t and LETTER.search(t)]
+        keep = [k for k, t in enumerate(texts) if t and has_letter(t)]
         out = [("und", 0.0)] * len(texts)
         parts = [windows_of(texts[k].lower().encode("utf-8", "surrogatepass")) for k in keep]
         if not parts:
@@ -195,7 +200,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] <= docs_per_lang:
             for text in found:
-                if LETTER.search(text):
+                if has_letter(text):
                     x.append(windows_of(text.lower().encode("utf-8", "surrogatepass"))[0])
                     y.append(classes.index(lang))
     return Network(classes).fit(np.array(x), np.array(y)) if x else None
@@ -218,4 +223,4 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda b: _predict(b, shared), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda b: tidy(_predict(b, shared)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
