@@ -6,9 +6,13 @@ directory, and the table of its documents.  An image alone supports access to an
 token, counting of a token in a range, and lookup of a token's occurrences.  Images
 travel as rows of a Parquet table, so any store that Spark can write will do.
 
+Pieces of texts are encoded once by the library and known again by a 64-bit hash, so
+equality with the library's ids holds but for colliding hashes of different words.
+
 Defined results: a null text counts as empty and gives the end id alone; null ids
 come first; rows with equal ids stay apart (ordered by a hash of their text); a
-document of any length lies whole in one shard; an empty table gives no shards and an
+document of any length lies whole in one shard; the strings of special tokens in a text
+are those tokens, as the library takes them; an empty table gives no shards and an
 empty result; only the id and the text are read, so other columns can't clash.
 """
 
@@ -26,19 +30,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .byte_bpe import Numbered
-from .common import scratch_path
+from .common import rows_at_most, scratch_path, tidy
+from .hashing import BYTE_GAP, byte_runs, passes
 
 #: A shard is closed when it holds this many tokens.
 SHARD_TOKENS = 1 << 19
 #: Bits between entries of a rank directory.
 RANK_BITS = 512
 MAGIC = b"WMX1"
-#: Distinct white-space separated chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 600_000
-#: A letter or digit before an ASCII symbol other than the apostrophe: no token spans this place.
-#: (U+0130 is left out: its lower case ends in a mark, which joins the symbols.)
-CUT = re.compile("(?<=[0-9A-Za-zÀ-ÖØ-öø-įı-ɏ])(?=[!-&(-/:-@\\[-`{-~])")
+#: Distinct pieces that a worker remembers before it starts anew.
+CACHE_PIECES = 1_500_000
+#: Pieces that are remembered apart until they are merged into the rest.
+RECENT_PIECES = 50_000
+#: Offsets of writing tasks are broadcast up to this many (16 bytes each), else shuffled.
+BROADCAST_TASKS = 100_000
+#: An ASCII letter or digit before an ASCII symbol other than the apostrophe: no token spans this place.
+_BEFORE = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
+_AFTER = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
 
 #: Lower-case letters that the tokenizer's normaliser leaves as they are.
@@ -102,9 +110,16 @@ class WaveletMatrix:
         return self.directories[level][block].astype(np.int64) + (bits & inside).sum(1, dtype=np.int64)
 
     def select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th (from 0) bit of a kind in a plane."""
-        bits = np.unpackbits(self.planes[level], bitorder="little")[: self.n]
-        return np.flatnonzero(bits == bit)[k]
+        """The places of the k-th (from 0) bits of a kind in a plane: the directory gives the
+        block, and only these blocks are unpacked."""
+        before = self.directories[level].astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * RANK_BITS - before
+        block = np.searchsorted(before, k, "right") - 1
+        width = RANK_BITS // 8
+        window = self.planes[level].reshape(-1, width)[block]
+        found = np.cumsum(np.unpackbits(window, axis=1, bitorder="little") == bit, axis=1, dtype=np.int32)
+        return block * RANK_BITS + (found <= (k - before[block])[:, None]).sum(1)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at the given places."""
@@ -134,11 +149,14 @@ class WaveletMatrix:
     def locate(self, token: int) -> np.ndarray:
         """All places of a token, ascending."""
         low, high = self.interval(token, 0, self.n)
-        at = np.arange(low, high)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = token >> (len(self.planes) - 1 - level) & 1
-            at = self.select(level, bit, at - self.zeros[level] * bit)
-        return np.sort(at)
+        out = []
+        for first in range(low, high, 4096):  # bounds the blocks unpacked at once
+            at = np.arange(first, min(high, first + 4096))
+            for level in range(len(self.planes) - 1, -1, -1):
+                bit = token >> (len(self.planes) - 1 - level) & 1
+                at = self.select(level, bit, at - self.zeros[level] * bit)
+            out.append(at)
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
     def decode(self) -> np.ndarray:
         """All ids: the partitions are undone from the last plane to the first."""
@@ -176,12 +194,43 @@ def open_shard(image: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return [k if ok else None for k, ok in zip(keys, known)], counts, WaveletMatrix.from_bytes(memoryview(image)[12 + 17 * n :])
 
 
-class ChunkEncoder:
-    """Texts to ids through the tokenizers library, remembering chunks.
+class HashTable:
+    """Numbers of known 64-bit hashes: a large sorted array, and a small one of recent ones."""
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.size = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it is unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, numbers in self.parts:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, numbers[at], out)
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Number new hashes, which are distinct and in ascending order."""
+        numbers = np.arange(self.size, self.size + len(hashes))
+        self.size += len(hashes)
+        self.parts[1] = _merged(self.parts[1], (hashes, numbers))
+        if len(self.parts[1][0]) > RECENT_PIECES:
+            self.parts = [_merged(*self.parts), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.searchsorted(a[0], b[0])
+    return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
+
+
+class PieceEncoder:
+    """Texts to ids through the tokenizers library, remembering pieces.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its chunks between ASCII white space; and no token spans a place that ``CUT`` finds.
-    Each distinct piece is encoded once by the library.
+    its parts between ASCII white space; and no token spans a place between ``_BEFORE``
+    and ``_AFTER``.  Pieces are found, hashed and looked up as arrays; each distinct one
+    is encoded once by the library.
     """
 
     def __init__(self, name: str):
@@ -190,64 +239,94 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower().encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
         self.forget()
 
     def forget(self) -> None:
-        self.chunks, self.pieces = Numbered(), {}
+        self.known = HashTable()
         self.table = np.zeros(0, np.uint32)
         self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        cut = [CUT.split(c.decode("utf-8")) for c in chunks]
-        known = self.pieces
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in known))
-        model, letters = self.tokenizer.model, self.letters
-        other = []
-        for p in new:
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        ids: list[list[int]] = []
+        other: list[int] = []
+        texts = [p.decode("utf-8") for p in pieces]
+        for k, p in enumerate(texts):
             if PLAIN.fullmatch(p):  # normalised already, and one pre-token: only the merges are left
-                known[p] = [x.id for x in model.tokenize(p if p.isascii() else "".join([letters[b] for b in p.encode()]))]
+                ids.append([x.id for x in tokenize(p if p.isascii() else "".join([letters[b] for b in pieces[k]]))])
             else:
-                other.append(p)
+                ids.append([])
+                other.append(k)
         for low in range(0, len(other), 20_000):
             part = other[low : low + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = e.ids
-        ids = [known[parts[0]] if len(parts) == 1 else [x for p in parts for x in known[p]] for parts in cut]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False)):
+                ids[k] = e.ids
         sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
+        flat = np.array([x for one in ids for x in one], np.uint32)
+        self.known.add(hashes)
         self.begins = np.concatenate([self.begins, np.cumsum(sizes) - sizes + len(self.table)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.table = np.concatenate([self.table, flat])
 
+    def _numbers(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each piece of some joined texts, and where it starts."""
+        flat = np.frombuffer(data, np.uint8)
+        cut = np.flatnonzero(_BEFORE[flat[:-1]] & _AFTER[flat[1:]]) + 1
+        hashes, starts, ends = byte_runs(data, cut)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        found = self.known.find(distinct)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if self.known.size > CACHE_PIECES:
+                self.forget()
+                new = np.arange(len(distinct))
+            at = first[new]
+            self._learn(distinct[new], [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            found[new] = np.arange(self.known.size - len(new), self.known.size)
+        return found[inverse], starts
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end_id``, and how many each text has."""
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.forget()
-        chunks: list[bytes] = []
-        upto = []
-        for t in texts:
-            chunks += (t or "").encode("utf-8").lower().split()
-            upto.append(len(chunks))
-        where = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
-        if self.chunks.new:
-            new, self.chunks.new = self.chunks.new, []
-            self._learn(new)
-        sizes = self.sizes[where]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.table[np.repeat(self.begins[where] - (ends - sizes), sizes) + np.arange(total)]
-        cut = np.concatenate([[0], ends])[upto]
-        return np.insert(flat, cut, np.uint32(end_id)), np.diff(cut, prepend=0) + 1
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def encoder(name: str) -> ChunkEncoder:
+        data = [(t or "").encode("utf-8").lower() for t in texts]
+        ids, counts, low = [], [], 0
+        for k, d in enumerate(data):
+            if any(s in d for s in self.special):  # a token may span what is a cut elsewhere
+                whole = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
+                self._encode(data[low:k], end_id, ids, counts)
+                ids.append(np.array([*whole, end_id], np.uint32))
+                counts.append(np.array([len(whole) + 1]))
+                low = k + 1
+        self._encode(data[low:], end_id, ids, counts)
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+    def _encode(self, data: list[bytes], end_id: int, ids: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        open_ids = 0
+        for pieces, goes_on in passes(data, BYTE_GAP):
+            where, starts = self._numbers(b"\n".join(pieces) + b"\n")
+            sizes = self.sizes[where]
+            ends = np.cumsum(sizes)
+            total = int(ends[-1]) if len(ends) else 0
+            flat = self.table[np.repeat(self.begins[where] - (ends - sizes), sizes) + np.arange(total)]
+            if goes_on:
+                ids.append(flat)
+                open_ids += total
+                continue
+            upto = np.concatenate([[0], ends])[np.searchsorted(starts, np.cumsum([len(p) + 1 for p in pieces]))]
+            ids.append(np.insert(flat, upto, np.uint32(end_id)))
+            each = np.diff(upto, prepend=0) + 1
+            each[0] += open_ids
+            counts.append(each)
+            open_ids = 0
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(name: str) -> PieceEncoder:
     if name not in _ENCODERS:
-        _ENCODERS[name] = ChunkEncoder(name)
+        _ENCODERS[name] = PieceEncoder(name)
     return _ENCODERS[name]
 
 
@@ -292,7 +371,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
     tie = F.xxhash64("text")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie)
-    shards = rows.mapInArrow(lambda batches: _build(batches, tokenizer, end_id), SHARD_SCHEMA)
+    shards = rows.mapInArrow(lambda batches: tidy(_build(batches, tokenizer, end_id)), SHARD_SCHEMA)
     small = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.page.size.row.check.min": "1"}
     shards.write.option("compression", "zstd").options(**small).parquet(path)
 
@@ -318,14 +397,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document from the shards: id, start, n_tokens, ids (32-bit little-endian).
 
-    The first id of each writing task comes from a running sum over tasks (a row each,
-    as many as shuffle partitions), which is all that is broadcast.
+    The first id of each writing task comes from a running sum over tasks, a row each and
+    as many as shuffle partitions; they are broadcast if they are few.
     """
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     rows = shards.select("part", "start_in_part", "image").mapInArrow(_read, "id bigint, part int, start_in_part bigint, n_tokens bigint, ids binary")
-    rows = rows.join(F.broadcast(base), "part")
+    rows = rows.join(F.broadcast(base) if rows_at_most(parts, BROADCAST_TASKS) else base, "part")
     return rows.select(F.col("id").alias(id_col), (F.col("base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
