@@ -11,15 +11,24 @@ def confusion(rows: DataFrame, truth: str, guess: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
 
 
-def class_metrics(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+def class_metrics(rows: DataFrame, truth: str, guess: str, digits: int = 6) -> DataFrame:
     """Precision, recall and F1 of each class, from the confusion counts."""
     cells = confusion(rows, truth, guess)
     each = cells.select(F.explode(F.array(F.struct(F.col("truth").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("g"), (F.col("truth") == F.col("guess")).cast("int").alias("ok")), F.struct(F.col("guess").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("g"), F.lit(0).alias("ok")))).alias("x"), "n")
     sums = each.groupBy(F.col("x.c").alias("class")).agg(F.sum(F.col("x.t") * F.col("n")).alias("t"), F.sum(F.col("x.g") * F.col("n")).alias("g"), F.sum(F.col("x.ok") * F.col("n")).alias("ok"))
     p, r = F.col("ok") / F.nullif(F.col("g"), F.lit(0)), F.col("ok") / F.nullif(F.col("t"), F.lit(0))
     f1 = F.coalesce(2 * F.col("ok") / F.nullif(F.col("t") + F.col("g"), F.lit(0)), F.lit(0.0))
-    rnd = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return sums.select("class", rnd(p).alias("precision"), rnd(r).alias("recall"), F.round(f1, 6).alias("f1"), F.col("t").alias("support"))
+    rnd = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits)
+    return sums.select("class", rnd(p).alias("precision"), rnd(r).alias("recall"), F.round(f1, digits).alias("f1"), F.col("t").alias("support"))
+
+
+def summary_metrics(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """Accuracy, F1 averaged over classes, and F1 weighted by the classes' rows."""
+    each = class_metrics(rows, truth, guess, 15)
+    n = F.sum("support")
+    found = each.agg((F.sum(F.col("recall") * F.col("support")) / n).alias("a"), F.avg("f1").alias("m"), (F.sum(F.col("f1") * F.col("support")) / n).alias("w"), n.alias("n"))
+    right = rows.agg(F.avg((F.col(truth) == F.col(guess)).cast("int")).alias("accuracy"))
+    return found.crossJoin(right).select(F.round("accuracy", 6).alias("accuracy"), F.round("m", 6).alias("macro_f1"), F.round("w", 6).alias("weighted_f1"), "n")
 
 
 def tie_ranks(rows: DataFrame, col: str, name: str) -> DataFrame:

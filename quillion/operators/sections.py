@@ -1,27 +1,155 @@
 """Headings and sections of a text.
 
-The heading map is a parameter: (section, aliases) in order of precedence.
+The heading map is a parameter: aliases by section, in order of precedence.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Default headings; the first section with a matching alias wins.
-HEADINGS = (
-    ("education", "education|educational background|academic background|academic history|qualifications|academic qualifications|degrees"),
-    ("experience", "experience|work experience|professional experience|employment history|employment|work history|career history|professional background|professional history|internships|work placements|professional roles"),
-    ("skills", "skills|technical skills|core skills|key skills|skill set|skillset|competencies|core competencies|technologies|tools|programming languages|technical expertise|areas of expertise|expertise|proficiencies"),
-    ("projects", "projects|project experience|personal projects|academic projects|side projects|portfolio|selected projects|key projects"),
-    ("certifications", "certifications|certification|certificates|professional certifications|licenses|accreditations|courses|training"),
-    ("languages", "languages|language skills|spoken languages"),
-    ("achievements", "achievements|accomplishments|honors|honours|awards|recognition|publications|invited talks|presentations|conferences|workshops|talks|research interests"),
-    ("leadership", "leadership|leadership experience|extracurricular|extracurricular activities|activities|volunteering|volunteer experience|community involvement|clubs|organizations|memberships"),
-    ("summary", "summary|professional summary|executive summary|objective|career objective|profile|professional profile|about me|overview|introduction"),
-    ("references", "references|referees"),
+from ..functions.text import LINE_BREAK
+
+#: Default headings by section; the first section with a matching alias wins.
+HEADINGS = {
+    "education": (
+        "education",
+        "educational background",
+        "academic background",
+        "academic history",
+        "qualifications",
+        "academic qualifications",
+        "degrees",
+    ),
+    "experience": (
+        "experience",
+        "work experience",
+        "professional experience",
+        "employment history",
+        "employment",
+        "work history",
+        "career history",
+        "professional background",
+        "professional history",
+        "internships",
+        "internship experience",
+        "industry experience",
+        "relevant experience",
+        "teaching experience",
+        "research experience",
+        "professional roles",
+        "work placements",
+        "employment experience",
+    ),
+    "skills": (
+        "skills",
+        "technical skills",
+        "core skills",
+        "key skills",
+        "skill set",
+        "skillset",
+        "competencies",
+        "core competencies",
+        "technologies",
+        "tools",
+        "tools & technologies",
+        "tools and technologies",
+        "programming languages",
+        "technical expertise",
+        "areas of expertise",
+        "expertise",
+        "skill highlights",
+        "technical proficiencies",
+        "proficiencies",
+    ),
+    "projects": (
+        "projects",
+        "project experience",
+        "personal projects",
+        "academic projects",
+        "side projects",
+        "portfolio",
+        "selected projects",
+        "key projects",
+    ),
+    "certifications": (
+        "certifications",
+        "certification",
+        "certificates",
+        "professional certifications",
+        "licenses",
+        "licenses & certifications",
+        "licenses and certifications",
+        "accreditations",
+        "courses",
+        "training",
+    ),
+    "languages": (
+        "languages",
+        "language skills",
+        "spoken languages",
+    ),
+    "achievements": (
+        "achievements",
+        "accomplishments",
+        "honors",
+        "honours",
+        "awards",
+        "awards & honors",
+        "awards and honors",
+        "academic achievements",
+        "recognition",
+        "publications",
+        "selected publications",
+        "peer-reviewed publications",
+        "invited talks",
+        "invited presentations",
+        "presentations",
+        "conferences",
+        "conference presentations",
+        "workshops",
+        "talks",
+        "research interests",
+    ),
+    "leadership": (
+        "leadership",
+        "leadership experience",
+        "extracurricular",
+        "extracurricular activities",
+        "activities",
+        "volunteering",
+        "volunteer experience",
+        "community involvement",
+        "clubs",
+        "organizations",
+        "memberships",
+    ),
+    "summary": (
+        "summary",
+        "professional summary",
+        "executive summary",
+        "objective",
+        "career objective",
+        "profile",
+        "professional profile",
+        "about me",
+        "overview",
+        "introduction",
+    ),
+    "references": (
+        "references",
+        "referees",
+    ),
+}
+#: All sections in their order of output.
+CANONICAL_SECTIONS = (
+    "header", "summary", "education", "experience", "skills", "projects", "certifications", "languages", "achievements", "leadership", "references", "other",
 )
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: What starts a bullet and ends a sentence.
+BULLET_LINE = r"^[-*•·–—>]"
+SENTENCE_END = r"[.?!]$"
 MOST_CHARS = 60
 
 
@@ -34,17 +162,16 @@ def heading(line: Column, headings=HEADINGS) -> Column:
     plain = F.regexp_replace(F.rtrim(F.lower(F.btrim(line)), F.lit(":")), r"\s+", " ")
     plain = F.btrim(F.btrim(plain, F.lit("-_=•")))
     body = F.btrim(line)
-    fits = (plain != "") & (F.length(body) <= MOST_CHARS) & ~body.rlike(r"^[-•*▪●◦]") & ~body.rlike(r"[.?!]$")
+    fits = (plain != "") & (F.length(body) <= MOST_CHARS) & ~body.rlike(BULLET_LINE) & ~body.rlike(SENTENCE_END)
     whole, inside = [], []
-    for section, aliases in headings:
-        names = aliases.split("|")
+    for section, names in headings.items():
         whole.append(F.when(plain.isin(*names), section))
         several, single = [n for n in names if " " in n], [n for n in names if " " not in n]
         test = F.lit(False)
         for n in several:
             test = test | plain.contains(n)
         if single:
-            test = test | plain.rlike(r"\b(?:" + "|".join(single) + r")\b")
+            test = test | plain.rlike(r"\b(?:" + "|".join(map(re.escape, single)) + r")\b")
         inside.append(F.when(test, section))
     return F.when(fits, F.coalesce(*whole, *inside))
 
@@ -63,15 +190,19 @@ def split_sections(docs: DataFrame, text_col: str = "text", headings=HEADINGS) -
         added = F.when(x["head"].isNull(), F.concat(state["out"], F.array(F.struct(state["now"].alias("s"), x["line"].alias("l"))))).otherwise(state["out"])
         return F.struct(F.coalesce(x["head"], state["now"]).alias("now"), added.alias("out"))
 
-    placed = F.aggregate(marked, start, step)["out"]
-    names = ["header", *[s for s, _ in headings]]
+    names = [n for n in CANONICAL_SECTIONS if n == "header" or n in headings] + [n for n in headings if n not in CANONICAL_SECTIONS]
+
+    def filled(placed: Column) -> Column:
+        def body(name: Column) -> Column:
+            own = F.transform(F.filter(placed, lambda p: p["s"] == name), lambda p: p["l"])
+            return F.btrim(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
 
-    def body(name: str) -> Column:
-        own = F.transform(F.filter(placed, lambda p: p["s"] == name), lambda p: p["l"])
-        return F.btrim(F.regexp_replace(F.array_join(own, "\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r"))
+        each = F.transform(F.array(*map(F.lit, names)), lambda n: F.struct(n, body(n)))
+        return F.map_filter(F.map_from_entries(each), lambda k, v: (v != "") | (k == "header"))
 
-    every = F.array(*[F.struct(F.lit(n), body(n)) for n in names])
-    return docs.withColumn("sections", F.map_filter(F.map_from_entries(every), lambda k, v: (v != "") | (k == "header")))
+    # The lines are placed once, and not again for each section.
+    found = F.transform(F.array(F.aggregate(marked, start, step)["out"]), filled)
+    return docs.withColumn("sections", F.get(found, F.lit(0)))
 
 
 def section(sections: Column, name: str) -> Column:

@@ -8,15 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import curate, evaluate, ranking, sections
-from . import more
+from ..operators import curate, evaluate, ranking
+from . import more, profiles
 
 #: The queries of one text ask for benchmark item 0, those of all (``..._each``) for every id that this divides.
 QUERY_ITEM = 0
 EACH = 50
-#: Stand-ins for headings and skills: frequent words of the invented prose.
-DEMO_HEADINGS = (("education", "thing|tion was"), ("skills", "thes|ering|the tion"), ("summary", "zu und|de la"))
-DEMO_TERMS = ("the", "was", "tion")
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -165,11 +162,6 @@ def extract_contacts_all(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in text.contacts(F.col("text")).items()])
 
 
-def split_sections(spark, sf_dir):
-    rows = sections.split_sections(_t(spark, sf_dir, "documents").select("doc_id", "text"), headings=DEMO_HEADINGS)
-    return rows.select("doc_id", F.explode("sections").alias("section", "body")).select("doc_id", "section", F.length("body").cast("bigint").alias("chars"))
-
-
 def _judged(spark, sf_dir):
     return _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id")
 
@@ -226,7 +218,7 @@ def event_islands(spark, sf_dir):
 _QUERIES = (
     bm25_corpus_topk, bm25_pair_coverage, clean_documents, clean_pages_html, length_filter, exact_dedupe, priority_dedupe, gate_reasons,
     rubric_scores, label_distribution, weakest_sections, score_histogram, cosine_topk, hybrid_blend_rank, skill_search_all, skill_search_any,
-    text_macro_features, extract_contacts, split_sections, confusion_metrics, spearman_ties, ndcg_at_10, blend_grid_search, population_stats,
+    text_macro_features, extract_contacts, confusion_metrics, spearman_ties, ndcg_at_10, blend_grid_search, population_stats,
     pivot_first, last_write_wins, hash_split, oversample_counts, near_leaks, event_islands,
     bm25_corpus_topk_each, bm25_pair_coverage_each, cosine_topk_each, hybrid_blend_rank_each,
     extract_contacts_all,
@@ -234,7 +226,7 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{f.__name__: f for f in _QUERIES}, **more.queries()}
+    return {**{f.__name__: f for f in _QUERIES}, **more.queries(), **profiles.queries()}
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -276,9 +268,26 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ANY = "list_sort(list_filter(['ering', 'thing', 'tion'], lambda x: list_contains(w, x)))"
 
 
+def _macro_sql() -> str:
+    bare = lambda p: p.replace("(?i)", "")
+    headers = " + ".join(rf"regexp_matches(lower(t), '\b{h}\b')::BIGINT" for h in text.MACRO_HEADERS)
+    ranges = " + ".join(f"len(regexp_extract_all(t, '(?i){bare(p)}'))" for p in text.MACRO_RANGES)
+    groups = "len(regexp_extract_all(x, '[aeiouy]+'))"
+    syllables = f"list_transform(list_transform(w, lambda x: trim(lower(x), chr(39))), lambda x: CASE WHEN x = '' THEN 0 WHEN ends_with(x, 'e') AND {groups} > 1 THEN {groups} - 1 ELSE greatest(1, {groups}) END)"
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, trim(coalesce(text, ''), {_BLANKS}) AS b FROM documents),
+c AS (SELECT doc_id, t, regexp_extract_all(t, '[a-zA-Z'']+') AS w, len(list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS}) != '')) AS line_count,
+ greatest(1, len(list_filter(regexp_split_to_array(b, '[.!?]\s+|[.!?]$'), lambda x: length(trim(x, {_BLANKS})) > 2)))::BIGINT AS sentence_count FROM t),
+d AS (SELECT *, len(w) AS n, coalesce(list_sum({syllables}), 0) AS s FROM c)
+SELECT doc_id, n AS word_count, line_count, sentence_count, round_even(n / sentence_count, 2) AS mean_sentence_len, ({ranges})::BIGINT AS date_range_count,
+ greatest({headers}, regexp_matches(lower(t), '{text.MACRO_HISTORY}')::BIGINT) AS section_header_count,
+ CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(100.0::DOUBLE, round_even(206.835::DOUBLE - 1.015::DOUBLE * n / sentence_count - 84.6::DOUBLE * s / n, 2))) END AS flesch_reading_ease,
+ CASE WHEN n > 0 THEN round_even(length(array_to_string(w, '')) / n, 3) ELSE 0.0::DOUBLE END AS avg_word_len, regexp_matches(t, '@|\+?\d[\d\s.-]{{6,}}')::INT AS has_contact FROM d"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         **more.oracle_sql(),
+        **profiles.oracle_sql(),
         "bm25_corpus_topk": f"""WITH {_PAIR},
 len AS (SELECT doc_id, len({_TOK}) AS dl FROM documents),
 st AS (SELECT count(*) AS docs, greatest(avg(dl), 1.0) AS avgdl FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
@@ -307,7 +316,7 @@ SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, sco
         "ndcg_at_10": f"WITH {_JUDGED}, r AS (SELECT source, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, row_number() OVER (PARTITION BY source ORDER BY quality DESC, doc_id) AS i FROM j), s AS (SELECT source, sum(CASE WHEN r <= 10 THEN quality / log2(r + 1) END) AS dcg, sum(CASE WHEN i <= 10 THEN quality / log2(i + 1) END) AS idcg FROM r GROUP BY 1) SELECT source, round(dcg / idcg, 6) AS ndcg FROM s WHERE idcg > 0",
         "blend_grid_search": f"WITH {_JUDGED}, x AS (SELECT n_chars / 1000.0::DOUBLE AS a, length(regexp_replace(text, '[^.]', '', 'g'))::DOUBLE AS b, quality::DOUBLE AS y FROM j), g AS (SELECT unnest(range(0, 21)) / 20.0::DOUBLE AS weight) SELECT weight, round(corr(a * weight + b * (1 - weight), y), 6) AS rho FROM x, g GROUP BY weight",
         "near_leaks": "WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x != '') AS w FROM documents), s AS (SELECT id, list_distinct(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w), p AS (SELECT a.id AS a_id, b.id AS b_id, a.g AS x, b.g AS y FROM s a JOIN s b ON b.id % 50 = 0 AND a.id != b.id AND len(a.g) > 0 AND len(b.g) > 0 AND least(len(a.g), len(b.g)) * 100 >= greatest(len(a.g), len(b.g)) * 85), c AS (SELECT a_id, b_id, len(list_intersect(x, y)) AS c, len(x) + len(y) AS n FROM p) SELECT a_id, b_id FROM c WHERE c * 100 >= (n - c) * 85",
-        "text_macro_features": f"WITH t AS (SELECT doc_id, coalesce(text, '') AS t, trim(coalesce(text, ''), {_BLANKS}) AS b FROM documents), c AS (SELECT doc_id, regexp_extract_all(t, '[a-zA-Z'']+') AS w, len(list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANKS}) != '')) AS line_count, greatest(1, len(list_filter(regexp_split_to_array(b, '[.!?]\\s+|[.!?]$'), lambda x: length(trim(x, {_BLANKS})) > 2))) AS sentence_count, len(regexp_extract_all(t, '(?i)\\d{{4}}\\s*[-–to]+\\s*(?:\\d{{4}}|Present|Current|Till Date)')) AS year_range_count, regexp_matches(t, '@|\\+?\\d[\\d\\s.-]{{6,}}')::INT AS has_contact FROM t) SELECT doc_id, len(w) AS word_count, line_count, sentence_count::BIGINT AS sentence_count, round_even(len(w) / sentence_count, 2) AS mean_sentence_len, year_range_count, round_even(CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0.0::DOUBLE END, 3) AS avg_word_len, has_contact FROM c",
+        "text_macro_features": _macro_sql(),
         "population_stats": "WITH u AS (SELECT source, 'text' AS field, trim(text) AS v FROM documents UNION ALL SELECT source, 'lang', trim(lang) FROM documents) SELECT source, field, sum(coalesce(v != '', false)::INT)::BIGINT AS filled, round(avg(coalesce(v != '', false)::INT) * 100, 4) AS percent, round(avg(CASE WHEN v != '' THEN length(v) END), 4) AS mean_length FROM u GROUP BY 1, 2",
         "pivot_first": "SELECT user_id, min(event_id) FILTER (event_type = 'click') AS click, min(event_id) FILTER (event_type = 'view') AS view, min(event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1",
         "last_write_wins": "SELECT user_id, ts, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC, event_type DESC) = 1",

@@ -24,7 +24,11 @@ def sql():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+#: These build whole records, as ``profile_scores`` does; they are left to the full comparison with SQL.
+LONG = {"extract_names", "profile_features", "profile_matches", "profile_rationales", "profile_suggestions"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - LONG))
 def test_matches_sql(spark, sql, name):
     found = registry.queries()[name](spark, SF)
     names = sorted(found.columns)
@@ -62,7 +66,7 @@ def test_rounds_half_to_even(spark):
     assert one(spark, scoring.skills(F.lit(1), target=8)) == 2
 
 
-def test_education(spark):
+def test_education_scores(spark):
     entries = F.array(F.struct(F.lit("BSc").alias("degree"), F.lit(9.0).alias("gpa")), F.struct(F.lit("HSC").alias("degree"), F.lit(None).cast("double").alias("gpa")))
     assert one(spark, scoring.education(entries)) == 12
 
