@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_key
 
+#: A gram is common if one in so many held-out rows has it.
+COMMON = 100
+
 
 def exact_dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per distinct text its least id and how many copies there are; only hashes are shuffled."""
@@ -49,9 +52,12 @@ def oversample(rows: DataFrame, label: str, reps: dict[str, int]) -> DataFrame:
 def near_leaks(pool: DataFrame, held: DataFrame, percent: int = 85, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Pool rows whose words and word pairs reach the Jaccard similarity with some held-out row.
 
-    A prefix join under the order of hashes: a pair can only reach the threshold if its
-    prefixes meet, so only prefixes are exploded and joined; whole sets are compared once
-    a pair is found.  The held-out side is a query set against all rows of the pool.
+    A prefix join: a pair can only reach the threshold if its prefixes meet, so only prefixes
+    are exploded and joined; whole sets are compared once a pair is found.  Grams that one in
+    ``COMMON`` held-out rows has come last in the order, the most frequent at the very end, so
+    prefixes hold them only where a text has little else.  That list has at most ``COMMON``
+    times the mean set's size entries, however many rows there are.  The held-out side is a
+    query set against all rows of the pool.
     """
 
     def grams(df: DataFrame, tag: str) -> DataFrame:
@@ -60,15 +66,24 @@ def near_leaks(pool: DataFrame, held: DataFrame, percent: int = 85, id_col: str
         pairs = F.transform("w", lambda w, i: F.when(i > 0, F.xxhash64(F.get("w", i - 1), w)))
         both = F.concat(F.transform("w", lambda w: F.xxhash64(w)), F.filter(pairs, lambda x: x.isNotNull()))
         # The row number keeps later filters from being moved below, where they would build the sets anew.
-        sets = rows.select(f"{tag}_id", F.sort_array(F.array_distinct(both)).alias(f"{tag}_g"), F.monotonically_increasing_id().alias("r"))
+        sets = rows.select(f"{tag}_id", F.array_distinct(both).alias(f"{tag}_g"), F.monotonically_increasing_id().alias("r"))
         return sets.where("r >= 0").drop("r")
 
+    def ordered(df: DataFrame, tag: str, common: DataFrame) -> DataFrame:
+        g = F.col(f"{tag}_g")
+        return df.crossJoin(common).select(f"{tag}_id", F.concat(F.sort_array(F.array_except(g, "common")), F.array_intersect("common", g)).alias(f"{tag}_g"))
+
     def prefixes(df: DataFrame, tag: str) -> DataFrame:
         n = F.size(f"{tag}_g")
         length = (n - F.ceil(n * percent / 100) + 1).cast("int")
         return df.select(f"{tag}_id", n.alias(f"{tag}_n"), F.explode(F.slice(f"{tag}_g", F.lit(1), length)).alias("h"))
 
     a, b = grams(pool, "a"), grams(held, "b")
+    often = b.select(F.explode("b_g").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    often = often.crossJoin(F.broadcast(held.agg(F.count("*").alias("rows")))).where((F.col("n") > 1) & (F.col("n") * COMMON >= F.col("rows")))
+    entries = F.array_sort(F.collect_list(F.struct("n", "h")))
+    common = often.agg(F.transform(entries, lambda x: x["h"]).alias("common"))
+    a, b = ordered(a, "a", common), ordered(b, "b", common)
     met = prefixes(a, "a").join(prefixes(b, "b"), "h")
     met = met.where(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).select("a_id", "b_id").distinct()
     met = met.join(a, "a_id").join(b, "b_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,8 +120,9 @@ def cosine_topk(spark, sf_dir):
 def cosine_topk_each(spark, sf_dir):
     rows = _t(spark, sf_dir, "embeddings")
     query = rows.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.crossJoin(F.broadcast(query)).select("query_id", "vec_id", scoring.similarity(F.col("embedding"), F.col("q")).alias("score"))
-    return ranking.top_k(scored, 20, id_col="vec_id", by="query_id")
+    similar = lambda block: rows.crossJoin(F.broadcast(block)).select("query_id", "vec_id", scoring.similarity(F.col("embedding"), F.col("q")).alias("score"))
+    best = [ranking.top_k(similar(block), 20, id_col="vec_id", by="query_id") for block in ranking.query_blocks(query, "query_id", "q")]
+    return reduce(DataFrame.unionByName, best)
 
 
 def hybrid_blend_rank(spark, sf_dir):
@@ -181,7 +183,7 @@ def ndcg_at_10(spark, sf_dir):
 
 def blend_grid_search(spark, sf_dir):
     rows = _judged(spark, sf_dir).select((F.col("n_chars") / 1000.0).alias("a"), F.length(F.regexp_replace("text", "[^.]", "")).cast("double").alias("b"), F.col("quality").cast("double").alias("y"))
-    return evaluate.best_blend(rows, "a", "b", "y")
+    return evaluate.blend_grid(rows, "a", "b", "y")
 
 
 def population_stats(spark, sf_dir):
