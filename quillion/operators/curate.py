@@ -76,10 +76,11 @@ def near_leaks(pool: DataFrame, held: DataFrame, percent: int = 85, id_col: str
     def prefixes(df: DataFrame, tag: str) -> DataFrame:
         n = F.size(f"{tag}_g")
         length = (n - F.ceil(n * percent / 100) + 1).cast("int")
-        return df.select(f"{tag}_id", n.alias(f"{tag}_n"), F.explode(F.slice(f"{tag}_g", F.lit(1), length)).alias("h"))
+        # No plain explode: its test for empty arrays would be moved below and order every set twice.
+        return df.select(f"{tag}_id", n.alias(f"{tag}_n"), F.explode_outer(F.slice(f"{tag}_g", F.lit(1), length)).alias("h"))
 
     a, b = grams(pool, "a"), grams(held, "b")
-    often = b.select(F.explode("b_g").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    often = b.select(F.explode_outer("b_g").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     often = often.crossJoin(F.broadcast(held.agg(F.count("*").alias("rows")))).where((F.col("n") > 1) & (F.col("n") * COMMON >= F.col("rows")))
     entries = F.array_sort(F.collect_list(F.struct("n", "h")))
     common = often.agg(F.transform(entries, lambda x: x["h"]).alias("common"))

@@ -73,7 +73,8 @@ def _bm25_block(docs: DataFrame, query: DataFrame, id_col: str, text_col: str, q
     rows = _hits(docs, _queries(query, query_col), id_col, text_col)
     # The term null stands for the document itself: its count is that of the documents, its sum their length.
     terms = F.concat(F.transform("hits", lambda h: h["t"]), F.array(F.lit(None).cast("string")))
-    seen = rows.select("_q", "dl", F.explode(terms).alias("t")).groupBy("_q", "t").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
+    # No plain explode: its test for empty arrays would be moved below and count every text twice.
+    seen = rows.select("_q", "dl", F.explode_outer(terms).alias("t")).groupBy("_q", "t").agg(F.count("*").alias("n"), F.sum("dl").alias("length"))
     pairs = F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "n")))
     seen = seen.groupBy(F.col("_q").alias("_s")).agg(
         F.map_from_entries(pairs).alias("dfs"), F.max(F.when(F.col("t").isNull(), F.col("n"))).alias("docs"), F.max(F.when(F.col("t").isNull(), F.col("length") / F.col("n"))).alias("avgdl")
