@@ -93,6 +93,12 @@ def near_leaks(pool: DataFrame, held: DataFrame, percent: int = 85, id_col: str
     return met.where(F.col("c") * 100 >= F.col("u") * percent).select("a_id", "b_id")
 
 
+def drop_leaks(pool: DataFrame, held: DataFrame, percent: int = 85, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """The pool without its rows that are near a held-out row; rows with a null id stay."""
+    found = near_leaks(pool, held, percent, id_col, text_col).select(F.col("a_id").alias("_gone")).distinct()
+    return pool.join(found, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def upsert(rows: DataFrame, key: str, ts: str) -> DataFrame:
     """The last row of each key (by time, then by all other columns): last write wins."""
     rest = [c for c in rows.columns if c not in (key, ts)]

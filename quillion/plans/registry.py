@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import curate, evaluate, ranking
-from . import more, profiles
+from . import more, profiles, shapes
 
 #: The queries of one text ask for benchmark item 0, those of all (``..._each``) for every id that this divides.
 QUERY_ITEM = 0
@@ -228,7 +228,7 @@ _QUERIES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{f.__name__: f for f in _QUERIES}, **more.queries(), **profiles.queries()}
+    return {**{f.__name__: f for f in _QUERIES}, **more.queries(), **profiles.queries(), **shapes.queries()}
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
@@ -290,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         **more.oracle_sql(),
         **profiles.oracle_sql(),
+        **shapes.oracle_sql(),
         "bm25_corpus_topk": f"""WITH {_PAIR},
 len AS (SELECT doc_id, len({_TOK}) AS dl FROM documents),
 st AS (SELECT count(*) AS docs, greatest(avg(dl), 1.0) AS avgdl FROM len), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
