@@ -208,3 +208,15 @@ def test_phone_only_contacts_stay(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: (r.email, r.phone) for r in registry.queries()["extract_contacts_all"](spark, str(tmp_path)).collect()}
     assert set(found) == {1, 2, 3, 4} and found[1] == ("", "555-123-4567") and found[2] == ("a@b.com", "")
+
+
+def test_means_round_as_in_sql(spark):
+    texts = [" ".join(["one two three four five six seven eight nine ten."] * 37 + ["one two three four five six seven eight nine ten eleven."] * 3), "Banana banana cat dog cat dog"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    features = text.macro_features(F.col("t"))
+    found = rows.select("t", *[features[n].alias(n) for n in ("mean_sentence_len", "flesch_reading_ease")]).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id INT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    own = con.execute(f"SELECT mean_sentence_len, flesch_reading_ease FROM ({registry.oracle_sql()['text_macro_features']}) ORDER BY doc_id").fetchall()
+    assert [(r.mean_sentence_len, r.flesch_reading_ease) for r in found] == own and own[0][0] == 10.07 and own[1][1] == 59.74
