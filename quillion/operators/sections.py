@@ -6,11 +6,14 @@ The heading map is a parameter: aliases by section, in order of precedence.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK
+from .entities import _let
 
 #: Default headings by section; the first section with a matching alias wins.
 HEADINGS = {
@@ -159,21 +162,35 @@ def heading(line: Column, headings=HEADINGS) -> Column:
     A heading is short, no bullet and no sentence.  A whole alias comes before aliases
     inside the line; several words match anywhere, a single word as a word.
     """
-    plain = F.regexp_replace(F.rtrim(F.lower(F.btrim(line)), F.lit(":")), r"\s+", " ")
-    plain = F.btrim(F.btrim(plain, F.lit("-_=•")))
     body = F.btrim(line)
-    fits = (plain != "") & (F.length(body) <= MOST_CHARS) & ~body.rlike(BULLET_LINE) & ~body.rlike(SENTENCE_END)
-    whole, inside = [], []
-    for section, names in headings.items():
-        whole.append(F.when(plain.isin(*names), section))
-        several, single = [n for n in names if " " in n], [n for n in names if " " not in n]
-        test = F.lit(False)
-        for n in several:
-            test = test | plain.contains(n)
-        if single:
-            test = test | plain.rlike(r"\b(?:" + "|".join(map(re.escape, single)) + r")\b")
-        inside.append(F.when(test, section))
-    return F.when(fits, F.coalesce(*whole, *inside))
+    # Longer lines, bullets and sentences need no more looking at, and what is left is made plain once.
+    fits = (F.length(body) <= MOST_CHARS) & ~body.rlike(BULLET_LINE) & ~body.rlike(SENTENCE_END)
+
+    several = {section: [n for n in names if " " in n] for section, names in headings.items()}
+    single = {section: [n for n in names if " " not in n] for section, names in headings.items()}
+    word = lambda names: r"\b(?:" + "|".join(map(re.escape, names)) + r")\b"
+
+    def named(x: Column) -> Column:
+        """One test for all sections goes before those of each: most lines fail all three."""
+        plain, whole, inside = x["plain"], [], []
+        for section, names in headings.items():
+            whole.append(F.when(x["alias"] & plain.isin(*names), section))
+            test = x["blank"] & reduce(or_, [plain.contains(n) for n in several[section]], F.lit(False))
+            if single[section]:
+                test = test | (x["word"] & plain.rlike(word(single[section])))
+            inside.append(F.when(test, section))
+        return F.coalesce(*whole, *inside)
+
+    def tests(plain: Column) -> Column:
+        of = lambda names: sum(names.values(), [])
+        held = plain.rlike(word(of(single))) if of(single) else F.lit(False)
+        parts = F.struct(plain.alias("plain"), plain.isin(*sum(map(list, headings.values()), [])).alias("alias"), plain.contains(" ").alias("blank"), held.alias("word"))
+        return F.when(plain != "", _let(parts, named))
+
+    # Blanks that stand alone are left as they are, which is most of them.
+    spaced = lambda x: F.when(x.rlike(r"\s\s|[^\S ]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
+    plain = _let(F.rtrim(F.lower(body), F.lit(":")), spaced)
+    return F.when(fits, _let(F.btrim(F.btrim(plain, F.lit("-_=•"))), tests))
 
 
 def split_sections(docs: DataFrame, text_col: str = "text", headings=HEADINGS) -> DataFrame:
