@@ -95,20 +95,24 @@ def name_from_text(text: Column, tech_terms: Sequence[str] = (), first_names: Se
         return F.split(F.lower(x), r"\s+")
 
     def is_name(x: Column) -> Column:
-        short = F.size(words(x)).isin(2, 3)
-        other = x.rlike(r'^[{\[]|["|@]|\d') | any_term(F.lower(x), ("www.", "company", "title"))
-        named = F.arrays_overlap(words(x), _lits((*JOB_TITLE_WORDS, *SCHOOLS, *PLACES))) | F.element_at(words(x), -1).isin(*COMPANY_ENDS)
-        tech = is_tech_term(x, tech_terms) | F.arrays_overlap(F.transform(words(x), lambda w: F.btrim(w, F.lit(_MARKS))), _lits([t.lower() for t in tech_terms]))
-        return short & ~other & ~named & ~tech & looks_real(x, first_names) & (F.regexp_count(x, F.lit(r"\p{Lu}")) >= 2)
+        def test(w: Column) -> Column:
+            other = x.rlike(r'^[{\[]|["|@]|\d') | any_term(F.lower(x), ("www.", "company", "title"))
+            named = F.arrays_overlap(w, _lits((*JOB_TITLE_WORDS, *SCHOOLS, *PLACES))) | F.element_at(w, -1).isin(*COMPANY_ENDS)
+            tech = is_tech_term(x, tech_terms) | F.arrays_overlap(F.transform(w, lambda y: F.btrim(y, F.lit(_MARKS))), _lits([t.lower() for t in tech_terms]))
+            return F.size(w).isin(2, 3) & ~other & ~named & (F.regexp_count(x, F.lit(r"\p{Lu}")) >= 2) & ~tech & looks_real(x, first_names)
+
+        return _let(words(x), test)
 
     def titled(x: Column) -> Column:
         return F.btrim(F.regexp_replace(x, r"^\S+\s*", ""))
 
-    def pick(lines: Column) -> Column:
+    def greeted(lines: Column) -> Column:
         first = F.get(F.filter(F.slice(lines, 1, 5), lambda x: F.get(words(x), F.lit(0)).isin(*SALUTATIONS)), F.lit(0))
-        after = titled(first)
-        greeted = F.when(F.size(words(after)).isin(2, 3) & ~is_tech_term(after, tech_terms), after)
-        candidates = F.filter(F.slice(lines, 1, 10), is_name)
-        return F.coalesce(F.when(~F.coalesce(F.array_contains(candidates, greeted), F.lit(False)), greeted), F.get(candidates, F.lit(0)), F.lit(""))
+        return _let(titled(first), lambda after: F.when(F.size(words(after)).isin(2, 3) & ~is_tech_term(after, tech_terms), after))
+
+    def pick(lines: Column) -> Column:
+        known = lambda name: F.exists(F.slice(lines, 1, 10), lambda x: (x == name) & is_name(x))
+        first = F.get(F.filter(F.slice(lines, 1, 10), is_name), F.lit(0))
+        return _let(greeted(lines), lambda name: F.coalesce(F.when(~F.coalesce(known(name), F.lit(False)), name), first, F.lit("")))
 
     return _let(_lines(text), pick)
