@@ -23,6 +23,8 @@ STRUCTURED = ("personal_info", "skills", "education", "experience", "projects",
 FIELDS = (
     "cv_id", "raw_text", "language", "name", "email", "phone", "education", "experience", "skills", "projects", "certifications", "languages", "achievements", "leadership",
 )
+#: Fields that scores and features are made from.
+SCORED = ("education", "experience", "skills", "projects", "certifications", "languages", "leadership")
 #: Roles of leadership among the lines on experience.
 LED = r"(?i)\b(?:led|mentored|headed|supervised)\s+(?:a\s+|the\s+)?(?:team|group)\b"
 NONE = "array<string>"
@@ -39,45 +41,60 @@ def _first_of(items: Column, key) -> Column:
     return _let(items, lambda a: _let(F.transform(a, key), lambda keys: F.filter(a, lambda x, i: (key(x) == "") | (F.array_position(keys, key(x)) == i + 1))))
 
 
-def extract(rows: DataFrame, now: tuple[int, int], taxonomy: Sequence[str], text_col: str = "text", sections_col: str | None = None, first_names: Sequence[str] = ()) -> DataFrame:
-    """Add ``cv``, the record of each text; sections are split from it if none are given."""
+def extract(
+    rows: DataFrame, now: tuple[int, int], taxonomy: Sequence[str], text_col: str = "text", sections_col: str | None = None, first_names: Sequence[str] = (), fields: Sequence[str] = FIELDS,
+) -> DataFrame:
+    """Add ``cv``, the record of each text; sections are split from it if none are given.
+
+    ``fields``: those that the record is to have.  The others are neither planned nor computed.
+    """
     if sections_col is None:
         sections_col = "sections"
-        rows = split_sections(rows, text_col)
+        # The row number keeps the split a step of its own: Python below cannot be given what is still to be folded.
+        rows = split_sections(rows, text_col).withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0").drop("_row")
     own = lambda name: section(F.col(sections_col), name)
     rows = rows.select("*", *[structured.as_json(own(s)).alias(f"_json_{s}") for s in STRUCTURED])
     data = {s: F.col(f"_json_{s}") for s in STRUCTURED}
     text = F.coalesce(F.col(text_col), F.lit(""))
     free = lambda name, found: F.when(data[name].isNull(), found)
-
-    summary = structured.pick(data["personal_info"], "$.summary")
-    listed = F.concat(
-        F.coalesce(structured.skills(data["skills"]), F.array().cast(NONE)), F.when(F.lower(summary).isin(*structured.UNKNOWN), F.array().cast(NONE)).otherwise(skills.extract_skills(summary, taxonomy))
-    )
-    tongues = _first_filled(
-        F.coalesce(structured.languages(data["languages"]), free("languages", entities.languages(own("languages")))),
-        structured.languages(F.when(data["skills"].startswith("{"), data["skills"])), free("skills", entities.languages(own("skills"))),
-    )
-    led = F.filter(_lines(own("experience")), lambda x: x.rlike(LED))
-    roles = F.coalesce(structured.items(data["leadership"], ("leadership", "extracurricular", "volunteering", "activities"), ("title", "name", "role", "description")), free("leadership", F.filter(_lines(own("leadership")), lambda x: F.lower(x) != "nan")))
-    awards = F.coalesce(structured.items(data["achievements"], ("achievements", "accomplishments", "awards", "honors"), ("title", "name", "description")), free("achievements", F.filter(_lines(own("achievements")), lambda x: F.lower(x) != "nan")))
-    contacts = T.contacts(text)
-    fields = [
-        F.substring(F.md5(text.cast("binary")), 1, 12).alias("cv_id"), text.alias("raw_text"), F.lit("en").alias("language"),
-        F.coalesce(F.nullif(structured.name(data["personal_info"]), F.lit("")), people.name_from_text(text, taxonomy, first_names)).alias("name"),
-        contacts["email"].alias("email"), contacts["phone"].alias("phone"),
-        _first_filled(structured.education(data["education"]), entities.education(own("education"))).alias("education"),
-        _first_filled(structured.experience(data["experience"], now), experience.experience(own("experience"), now)).alias("experience"),
-        F.array_sort(F.array_distinct(_first_filled(listed, skills.extract_skills(text, taxonomy)))).alias("skills"),
-        F.coalesce(structured.projects(data["projects"], own("projects")), entities.projects(own("projects"), tuple(taxonomy))).alias("projects"),
-        _first_of(F.coalesce(structured.certifications(data["certifications"]), entities.certifications(own("certifications"))), lambda c: F.lower(F.btrim(c["name"]))).alias("certifications"),
-        tongues.alias("languages"), awards.alias("achievements"),
-        entities.merged(entities.leadership(roles), led).alias("leadership"),
-    ]
+    contact = lambda name: T.contacts(text)[name]
+
+    def held_skills() -> Column:
+        summary = structured.pick(data["personal_info"], "$.summary")
+        listed = F.concat(
+            F.coalesce(structured.skills(data["skills"]), F.array().cast(NONE)), F.when(F.lower(summary).isin(*structured.UNKNOWN), F.array().cast(NONE)).otherwise(skills.extract_skills(summary, taxonomy))
+        )
+        return F.array_sort(F.array_distinct(_first_filled(listed, skills.extract_skills(text, taxonomy))))
+
+    def tongues() -> Column:
+        return _first_filled(
+            F.coalesce(structured.languages(data["languages"]), free("languages", entities.languages(own("languages")))),
+            structured.languages(F.when(data["skills"].startswith("{"), data["skills"])), free("skills", entities.languages(own("skills"))),
+        )
+
+    def awards() -> Column:
+        return F.coalesce(structured.items(data["achievements"], ("achievements", "accomplishments", "awards", "honors"), ("title", "name", "description")), free("achievements", F.filter(_lines(own("achievements")), lambda x: F.lower(x) != "nan")))
+
+    def lead() -> Column:
+        led = F.filter(_lines(own("experience")), lambda x: x.rlike(LED))
+        roles = F.coalesce(structured.items(data["leadership"], ("leadership", "extracurricular", "volunteering", "activities"), ("title", "name", "role", "description")), free("leadership", F.filter(_lines(own("leadership")), lambda x: F.lower(x) != "nan")))
+        return entities.merged(entities.leadership(roles), led)
+
+    found = {
+        "cv_id": lambda: F.substring(F.md5(text.cast("binary")), 1, 12), "raw_text": lambda: text, "language": lambda: F.lit("en"),
+        "name": lambda: F.coalesce(F.nullif(structured.name(data["personal_info"]), F.lit("")), people.name_from_text(text, taxonomy, first_names)),
+        "email": lambda: contact("email"), "phone": lambda: contact("phone"),
+        "education": lambda: _first_filled(structured.education(data["education"]), entities.education(own("education"))),
+        "experience": lambda: _first_filled(structured.experience(data["experience"], now), experience.experience(own("experience"), now)),
+        "skills": held_skills,
+        "projects": lambda: F.coalesce(structured.projects(data["projects"], own("projects")), entities.projects(own("projects"), tuple(taxonomy))),
+        "certifications": lambda: _first_of(F.coalesce(structured.certifications(data["certifications"]), entities.certifications(own("certifications"))), lambda c: F.lower(F.btrim(c["name"]))),
+        "languages": tongues, "achievements": awards, "leadership": lead,
+    }
     # Fields are columns first: a struct's fields would be computed anew wherever they are read.
     kept = [c for c in rows.columns if not c.startswith("_json_")]
-    rows = rows.select(*kept, *[f.alias(f"_cv_{n}") for f, n in zip(fields, FIELDS)])
-    return rows.select(*kept, F.struct(*[F.col(f"_cv_{n}").alias(n) for n in FIELDS]).alias("cv"))
+    rows = rows.select(*kept, *[found[n]().alias(f"_cv_{n}") for n in fields])
+    return rows.select(*kept, F.struct(*[F.col(f"_cv_{n}").alias(n) for n in fields]).alias("cv"))
 
 
 def score(rows: DataFrame, cv_col: str = "cv") -> DataFrame:

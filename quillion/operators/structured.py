@@ -76,7 +76,8 @@ def _json(values: pd.Series) -> pd.Series:
 
 def as_json(raw: Column) -> Column:
     """The data of a section as JSON text, an object or array; null if it holds none."""
-    return F.pandas_udf(_json, T.StringType())(raw)
+    # Not moved into the expressions that read it: Spark cannot call Python inside of those over elements.
+    return F.pandas_udf(_json, T.StringType()).asNondeterministic()(raw)
 
 
 def pick(data: Column, *paths: str) -> Column:
