@@ -17,31 +17,41 @@ from ..sources import synthetic as made
 #: The month that open ends run to, and that marks without a month take.
 NOW = (2024, 6)
 JOB_EVERY = 5
+#: Profiles in a task; how many changes speed and no result.
+PROFILES_A_TASK = 2_500
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made.profiles(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
+    """Profiles of all customers.  A file of keys is one or a few tasks, its texts and their records are many times as large: the keys are dealt out first."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return made.profiles(keys.repartition(max(1, -(-keys.count() // PROFILES_A_TASK)), "c_custkey"), "c_custkey")
+
+
+def _records(spark: SparkSession, sf_dir: str, fields: tuple[str, ...]) -> DataFrame:
+    """Records of the free texts, with the fields that are read."""
+    return profiles.extract(_rows(spark, sf_dir).select("key", "text"), NOW, made.SKILLS, fields=fields)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.score(profiles.extract(_rows(spark, sf_dir).select("key", "text"), NOW, made.SKILLS))
+    return profiles.score(_records(spark, sf_dir, profiles.SCORED))
 
 
 def split_sections(spark, sf_dir):
     """Sections under the default headings."""
-    rows = sections.split_sections(_rows(spark, sf_dir).select("key", "text")).select("key", F.explode("sections").alias("section", "body"))
+    # No plain explode here and below: its test for empty arrays would be moved below and split or parse each text again.
+    rows = sections.split_sections(_rows(spark, sf_dir).select("key", "text")).select("key", F.explode_outer("sections").alias("section", "body"))
     return rows.where("section IN ('header', 'summary', 'education', 'skills', 'experience')").select("key", "section", F.size(F.split("body", "\n")).cast("bigint").alias("lines"))
 
 
 def extract_names(spark, sf_dir):
-    rows = _scored(spark, sf_dir)
+    rows = _records(spark, sf_dir, ("name", "email", "phone"))
     return rows.select("key", "cv.name", "cv.email", "cv.phone")
 
 
 def extract_experience(spark, sf_dir):
     """Roles of the free texts."""
     rows = sections.split_sections(_rows(spark, sf_dir).select("key", "text"))
-    found = rows.select("key", F.posexplode(experience.experience(sections.section(F.col("sections"), "experience"), NOW)).alias("pos", "r"))
+    found = rows.select("key", F.posexplode_outer(experience.experience(sections.section(F.col("sections"), "experience"), NOW)).alias("pos", "r")).where("pos IS NOT NULL")
     return found.select("key", F.col("pos").cast("bigint").alias("pos"), "r.title", "r.company", "r.start", "r.end", F.col("r.duration_months").cast("bigint").alias("months"))
 
 
@@ -52,7 +62,7 @@ def extract_skills(spark, sf_dir):
 
 def extract_education(spark, sf_dir):
     rows = sections.split_sections(_rows(spark, sf_dir).select("key", "text"))
-    found = rows.select("key", F.posexplode(entities.education(sections.section(F.col("sections"), "education"))).alias("pos", "e"))
+    found = rows.select("key", F.posexplode_outer(entities.education(sections.section(F.col("sections"), "education"))).alias("pos", "e")).where("pos IS NOT NULL")
     return found.select("key", F.col("pos").cast("bigint").alias("pos"), "e.*")
 
 
@@ -96,7 +106,7 @@ def profile_suggestions(spark, sf_dir):
 
 
 def profile_features(spark, sf_dir):
-    rows = _scored(spark, sf_dir)
+    rows = _records(spark, sf_dir, (*profiles.SCORED, "achievements"))
     named = scoring.profile_features(F.col("cv"))
     return rows.select("key", *[c.cast("double").alias(n) for n, c in named.items()])
 

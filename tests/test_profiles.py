@@ -93,3 +93,20 @@ def test_checks(spark):
     rows = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "t int, g int")
     assert tuple(evaluate.summary_metrics(rows, "t", "g").first()) == (0.75, 0.733333, 0.733333, 4)
     assert of(spark, lambda x: entities.longer(x, x), ["a"], kind="array<string>") == [["a"]]
+
+
+def test_texts_are_parsed_once(spark, tmp_path):
+    """Few keys in one file become several tasks, and no plan splits, parses or counts a text again."""
+    import json
+
+    from quillion.operators import profiles
+    from quillion.plans import profiles as plans
+
+    spark.range(3 * plans.PROFILES_A_TASK).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert plans._rows(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    for query, split in ((plans.split_sections, 1), (plans.extract_experience, 1), (plans.extract_education, 1)):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") == split, (query.__name__, plan.count("aggregate("))
+    rows = spark.createDataFrame([("Jane Roe\njane@mail.example\nSkills\npython",), (None,)], "text string")
+    found = profiles.extract(rows, NOW, ("python",), fields=("name", "email", "skills")).select(F.to_json("cv")).collect()
+    assert [json.loads(r[0]) for r in found] == [{"name": "Jane Roe", "email": "jane@mail.example", "skills": ["python"]}, {"name": "", "email": "", "skills": []}]
