@@ -120,9 +120,11 @@ def profile_warnings(spark, sf_dir):
 
 def profile_matches(spark, sf_dir):
     """The five best profiles for each job; jobs are every fifth nation, their skills dealt by key."""
-    rows = _scored(spark, sf_dir)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    records = rows.join(vectors, F.col("key") == F.col("vec_id")).select(F.col("key").alias("id"), "cv.skills", "total_score", F.col("embedding").alias("vector"), "text")
+    # Profiles without a vector meet no job: they go before their texts are parsed.
+    rows = _rows(spark, sf_dir).select("key", "text").join(vectors, F.col("key") == F.col("vec_id"))
+    rows = profiles.score(profiles.extract(rows, NOW, made.SKILLS, fields=profiles.SCORED))
+    records = rows.select(F.col("key").alias("id"), "cv.skills", "total_score", F.col("embedding").alias("vector"), "text")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").where(F.col("n_nationkey") % JOB_EVERY == 0)
     wanted = F.concat_ws(", ", *[made._of(made.SKILLS, F.col("n_nationkey") + k) for k in (0, 3, 4)])
     jobs = nation.join(vectors, F.col("n_nationkey") == F.col("vec_id")).select(F.col("n_nationkey").alias("job_id"), F.concat(F.lit("We want: "), wanted).alias("job_text"), F.col("embedding").alias("job_vector"))
