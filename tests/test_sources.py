@@ -1,7 +1,9 @@
 """Adapters, the versioned store and the check of records."""
 
 import json
+import random
 import shutil
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -132,6 +134,31 @@ def test_leaks_leave_the_pool(spark):
     assert curate.drop_leaks(pool, held.limit(0)).count() == 8 and curate.near_leaks(pool.limit(0), held).count() == 0
 
 
+def shuffled_bytes(spark):
+    """What all stages of the session have written to shuffles so far."""
+    context, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    context.listenerBus().waitUntilEmpty()
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_leaks_shuffle_less_than_the_texts(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(200))) for i in range(2000)]
+    near = [(5000 + i, texts[i][1] + " more") for i in range(0, 2000, 100)]
+    odd = [(7000, texts[0][1]), (7001, texts[0][1]), (7001, texts[0][1]), (None, texts[0][1]), (7002, None), (7003, " .,")]
+    pool = spark.createDataFrame([*texts, *near, *odd], "id long, text string")
+    held = pool.where("id % 50 = 0 OR id = 7001 OR id IS NULL")
+    before = shuffled_bytes(spark)
+    found = Counter((r.a_id, r.b_id) for r in curate.near_leaks(pool, held).where("a_id != b_id").collect())
+    written = shuffled_bytes(spark) - before
+    first = {0: 1, 5000: 1, 7000: 1, 7001: 2}  # ids of one group, and how many rows have them
+    want = Counter({(a, b): first[a] * first[b] for a in first for b in first if a != b})
+    want.update({pair: 1 for i in range(100, 2000, 100) for pair in ((i, 5000 + i), (5000 + i, i))})
+    assert found == want
+    assert 0 < written < sum(len(t) for _, t in texts) / 2
+
+
 def test_query_blocks(spark):
     query = spark.createDataFrame([(i, f"alpha beta{i}") for i in range(20)] + [(20, None)], "q int, text string")
     docs = spark.createDataFrame([(1, "alpha beta3 beta3"), (2, ""), (2, ""), (3, None)], "doc_id int, text string")
